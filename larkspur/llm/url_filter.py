@@ -48,7 +48,6 @@ def match_rules(parsed: DataFrame, rules: DataFrame) -> DataFrame:
 
     rules: host, path, verdict. They are gathered by host, so a page meets at most one row for each label of its host.
     """
-    spark = parsed.sparkSession
     n = rules.limit(BROADCAST_RULES + 1).count()
     by_host = rules.where("host is not null and path is not null").groupBy(F.col("host").alias("__rh")).agg(F.collect_set(F.struct(F.col("path").alias("p"), F.col("verdict").alias("v"))).alias("__rs"))
     labels = F.split(F.col("host"), r"\.")
@@ -62,7 +61,6 @@ def match_rules(parsed: DataFrame, rules: DataFrame) -> DataFrame:
         "array_sort(filter(__rules, r -> startswith(path, r.p)), (a, b) -> case when length(a.rule) <> length(b.rule) then length(b.rule) - length(a.rule) when a.rule < b.rule then -1 when a.rule > b.rule then 1 else 0 end)"
     )
     first = F.get(best, 0)
-    del spark
     return joined.select(*[c for c in parsed.columns], first["rule"].alias("rule"), first["v"].alias("rule_verdict"))
 
 
