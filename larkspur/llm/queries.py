@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, packing, store, url_filter
+from larkspur.llm import chat, decontaminate, html_text, packing, store, url_filter
 from larkspur.llm.runtime import materialize, scratch
 
 QUERIES: dict = {}
@@ -53,6 +53,11 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
 
 
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
