@@ -51,7 +51,7 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def sliced(batches, column: str = "text", most: int = 16 << 20):
+def sliced(batches, column: str = "text", most: int = 6 << 20):
     """Record batches cut so that `column` holds about `most` bytes at most, or one row."""
     import numpy as np
 
