@@ -235,16 +235,21 @@ def main_text(html: str | None) -> str:
     return " ".join(b.text for b in found if b.label == "good")
 
 
+_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: one row per page row, by a map over the scan."""
+    """page_id, url, text, n_chars, declared_lang (of the html element, or null): one row per page row, by a map over the scan."""
 
     def run(batches):
         import pyarrow as pa
 
-        from larkspur.llm.html_text import main_text
+        from larkspur.llm.html_text import _LANG, main_text
 
         for b in sliced(batches, "html"):
-            texts = [main_text(h) for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            html = b.column(2).to_pylist()
+            texts = [main_text(h) for h in html]
+            said = [m[1] if h and (m := _LANG.search(h)) else None for h in html]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(said, pa.string())], names=["page_id", "url", "text", "n_chars", "declared_lang"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long, declared_lang string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, html_text, packing, store, toxicity, url_filter
+from larkspur.llm import chat, decontaminate, html_text, language, packing, store, toxicity, url_filter
 from larkspur.llm.runtime import materialize, scratch
 
 QUERIES: dict = {}
@@ -64,6 +64,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and pages as documents of negative ids (-1 - page_id). A document's source stands for its host."""
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select("doc_id", "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"))
+    pages = html_text.extract(table(spark, sf_dir, "pages"))
+    host, _ = url_filter.host_path(F.col("__u"))
+    pages = pages.select((-1 - F.col("page_id")).alias("doc_id"), "text", F.col("declared_lang").alias("declared"), F.coalesce("url", F.lit("")).alias("__u")).select("doc_id", "text", "declared", host.alias("host"))
+    return language.identify(own.unionByName(pages), language.fit(docs))
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -31,5 +31,5 @@ def test_query_rows(spark):
     rows = [(1, "u", f"<article>{LONG}</article>", 7), (1, "u", f"<article>{LONG}</article>", 7), (2, None, None, 8), (None, "w", "<p>" * 3000 + "x" * 300_000, 9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     got = sorted(map(tuple, extract(df).collect()), key=str)
-    assert got[0] == (1, "u", LONG, len(LONG)) and got[0] == got[1] and (2, None, "", 0) in got and len(got) == 4
+    assert got[0] == (1, "u", LONG, len(LONG), None) and got[0] == got[1] and (2, None, "", 0, None) in got and len(got) == 4
     assert extract(df.limit(0)).count() == 0
