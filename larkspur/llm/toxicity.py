@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.runtime import sliced
 
 #: Documents of label 1 and of label 0 in the training sample (those with the smallest hash of their id), and their greatest length.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 8000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 6000
 
 WIDTH, STRIDE = 32, 16
 WORD_SLOTS, CHAR_SLOTS = 1 << 15, 1 << 17
@@ -40,21 +40,17 @@ class Vocabulary:
         at = np.arange(len(raw)) - np.repeat(first, n)
         mult = np.cumprod(np.full(int(n.max()) if len(n) else 1, power, np.uint64))
         self.word = self._mix(np.add.reduceat(raw * mult[at], first) if len(words) else np.zeros(0, np.uint64)) % np.uint64(WORD_SLOTS)
-        left = np.repeat(ends, n) - np.arange(len(raw))
-        slots, owner = [], []
-        who = np.repeat(np.arange(len(words)), n)
-        for k in (3, 4, 5):
+        self.word = self.word.astype(np.int64)
+        of_size = [np.maximum(n - k + 1, 0) for k in (3, 4, 5)]
+        self.count = of_size[0] + of_size[1] + of_size[2]  # at least one: ^w$
+        self.first = np.cumsum(self.count) - self.count
+        self.gram = np.empty(int(self.count.sum()), np.int32)
+        for k, base in ((3, self.first), (4, self.first + of_size[0]), (5, self.first + of_size[0] + of_size[1])):
             h = np.full(len(raw), k, np.uint64)
             for j in range(k):
                 h[: len(raw) - j] = h[: len(raw) - j] * power + raw[j:]
-            ok = left >= k
-            slots.append(self._mix(h[ok]) % np.uint64(CHAR_SLOTS))
-            owner.append(who[ok])
-        order = np.argsort(np.concatenate(owner), kind="stable")
-        self.gram = np.concatenate(slots)[order].astype(np.int64)
-        self.count = np.bincount(np.concatenate(owner), minlength=len(words)).astype(np.int64)  # at least one: ^w$
-        self.first = np.cumsum(self.count) - self.count
-        self.word = self.word.astype(np.int64)
+            ok = np.flatnonzero(at + k <= np.repeat(n, n))
+            self.gram[np.repeat(base, n)[ok] + at[ok]] = (self._mix(h[ok]) % np.uint64(CHAR_SLOTS)).astype(np.int32)
 
     @staticmethod
     def _mix(h):
@@ -269,20 +265,15 @@ def _originals(codes: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def _evidence(model: Model, vocab: Vocabulary, codes, before, toxic, keep) -> None:
-    doc = np.repeat(np.arange(len(toxic)), np.diff(before))
-    pairs = np.unique(np.stack([doc, codes], 1)[keep[doc]], axis=0)
     toxic_n, clean_n = (toxic * keep).sum(), ((1 - toxic) * keep).sum()
     least = max(4, 0.008 * toxic_n)
-    for name, slots in (("word", vocab.word[pairs[:, 1]]), ("char", None)):
-        if slots is None:
-            gram, count, _ = vocab.some(pairs[:, 1])
-            key = np.unique(np.repeat(pairs[:, 0], count) * CHAR_SLOTS + gram)
-            docs, slots, n = key // CHAR_SLOTS, key % CHAR_SLOTS, CHAR_SLOTS
-        else:
-            key = np.unique(pairs[:, 0] * WORD_SLOTS + slots)
-            docs, slots, n = key // WORD_SLOTS, key % WORD_SLOTS, WORD_SLOTS
-        bad = np.bincount(slots, weights=toxic[docs], minlength=n)
-        good = np.bincount(slots, weights=1.0 - toxic[docs], minlength=n)
+    tallies = {"word": np.zeros((2, WORD_SLOTS)), "char": np.zeros((2, CHAR_SLOTS))}
+    for d in np.flatnonzero(keep).tolist():
+        own = np.unique(codes[before[d] : before[d + 1]])
+        if len(own):
+            tallies["word"][int(toxic[d]), np.unique(vocab.word[own])] += 1
+            tallies["char"][int(toxic[d]), np.unique(vocab.some(own)[0])] += 1
+    for name, (good, bad) in tallies.items():
         odds = np.log((bad + 1) / (toxic_n + 2)) - np.log((good + 1) / (clean_n + 2))
         model.p[name][:, 0] = np.where(bad >= least, np.clip(odds, -3, 3), np.clip(odds, -3, 0)) / 2
 
