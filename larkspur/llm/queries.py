@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, html_text, language, minhash, packing, store, toxicity, url_filter
+from larkspur.llm import chat, decontaminate, embeddings, html_text, language, minhash, packing, store, toxicity, url_filter
 from larkspur.llm.runtime import materialize, scratch
 
 QUERIES: dict = {}
@@ -27,6 +27,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op1_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.95),
+r AS (SELECT a AS vec_id, a AS o FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.o = l.a),
+m AS (SELECT vec_id, min(o) AS c FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS k FROM l GROUP BY a)
+SELECT vec_id, coalesce(k, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM u LEFT JOIN n USING (vec_id) LEFT JOIN m USING (vec_id)
+"""
+
+
 @query
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "store")
