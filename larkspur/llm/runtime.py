@@ -73,3 +73,91 @@ def _byte_lengths(arr):
     import pyarrow.compute as pc
 
     return pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False)
+
+
+def sampled_texts(docs: DataFrame, ids: DataFrame, key: str, max_chars: int) -> list:
+    """Rows (key, text) of the documents in ids (doc_id, key), without texts over max_chars or empty ones, in order of a hash of the id.
+
+    ids is a sample of stated size; only it is broadcast, and only its texts travel.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = own.join(F.broadcast(ids), "doc_id").where(F.length("text").between(1, max_chars)).select(F.xxhash64("doc_id").alias("h"), "doc_id", key, "text").collect()
+    return sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["text"]))
+
+
+def with_columns_by_batch(df: DataFrame, f, fields: str, column: str = "text", most: int = 6 << 20) -> DataFrame:
+    """df with more columns that f computes from slices of record batches (f(batch) -> list of Arrow arrays); all other columns pass through."""
+    from pyspark.sql import types as T
+
+    new = T._parse_datatype_string(fields)
+    schema = T.StructType([*df.schema.fields, *new.fields])
+    names = schema.names
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in sliced(batches, column, most):
+            yield pa.RecordBatch.from_arrays([*b.columns, *f(b)], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+#: Bits of an id filter: this many for each id, and at most 32 MB in all. A full filter only lets more through.
+FILTER_BITS_EACH, FILTER_BITS_MOST, FILTER_HASHES = 16, 1 << 28, 3
+
+
+def id_filter(ids: DataFrame):
+    """A Bloom filter of bounded size over the ids of a one-column DataFrame, as a numpy array of 64-bit words."""
+    import numpy as np
+
+    n = ids.count()
+    bits = 1 << 16
+    while bits < min(FILTER_BITS_MOST, FILTER_BITS_EACH * n):
+        bits *= 2
+    words = np.zeros(bits // 64, np.int64)
+    spot = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)]))
+    cells = ids.toDF("id").select(spot.alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(cast(1 as bigint), cast(s % 64 as int)))").alias("v"))
+    for batch in cells.toArrow().to_batches():
+        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return words
+
+
+def by_filters(docs: DataFrame, tests: list[tuple], keep) -> DataFrame:
+    """Rows of docs for which keep(one boolean array for each filter) holds. tests: filters as from id_filter; a null id is in none."""
+    import numpy as np
+
+    names = docs.columns
+    spots = [F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(k)), F.lit(64 * len(w))).alias(f"__s{i}_{k}") for i, w in enumerate(tests) for k in range(FILTER_HASHES)]
+    known = [docs.sparkSession.sparkContext.broadcast(w) for w in tests]
+    n = len(names)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            inside = []
+            for i, w in enumerate(known):
+                bits = w.value.view(np.uint64)
+                ok = b.column(n).is_valid().to_numpy(zero_copy_only=False).copy()
+                for k in range(FILTER_HASHES):
+                    s = b.column(n + 1 + i * FILTER_HASHES + k).to_numpy(zero_copy_only=False).astype(np.int64)
+                    ok &= (bits[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                inside.append(ok)
+            yield pa.RecordBatch.from_arrays(b.columns[:n], names=names).filter(pa.array(keep(*inside)))
+
+    return docs.select(*[docs[c] for c in names], F.col("doc_id").alias("__id"), *spots).mapInArrow(run, docs.schema)
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not in dropped (one column of ids). Texts do not move, but for about one row in a hundred.
+
+    A filter over the dropped ids settles the rows it does not hold. A second one, over the ids that the first holds by
+    chance, settles most others; only rows in both are joined.
+    """
+    dropped = dropped.toDF("doc_id")
+    first = id_filter(dropped)
+    chance = by_filters(docs.select(F.col("doc_id").cast("long").alias("doc_id")), [first], lambda a: a).distinct().join(dropped, "doc_id", "left_anti")
+    second = id_filter(chance)
+    sure = by_filters(docs, [first], lambda a: ~a)
+    doubt = by_filters(docs, [first, second], lambda a, b: a & b)
+    return sure.union(doubt.join(dropped, doubt["doc_id"].cast("long") == dropped["doc_id"], "left_anti"))

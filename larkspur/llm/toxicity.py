@@ -18,9 +18,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import sliced
+from larkspur.llm.runtime import sampled_texts, with_columns_by_batch
 
-#: Documents of label 1 and of label 0 in the training sample (those with the smallest hash of their id), and their greatest length.
+#: Labelled documents of label 1 and of label 0 in the training sample (those with the smallest hash of their id); longer
+#: ones than SAMPLE_CHARS are left out of it.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 6000
 
 WIDTH, STRIDE = 32, 16
@@ -205,8 +206,8 @@ class Model:
         return loss, g
 
 
-def train(texts, toxic: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Model:
-    """Fit a model to whole texts (an Arrow array) and their 0/1 labels."""
+def train(texts, toxic: np.ndarray, epochs: int = 6, steps: int = 600, batch: int = 96, rate: float = 0.01, seed: int = 7) -> Model:
+    """Fit a model to whole texts (an Arrow array) and their 0/1 labels, in so many epochs and steps at least; the last third goes slower."""
     words, codes, before = words_of(texts)
     vocab = Vocabulary(words)
     start, size, text = windows(before)
@@ -215,8 +216,8 @@ def train(texts, toxic: np.ndarray, epochs: int = 6, batch: int = 128, rate: flo
     rng = np.random.default_rng(seed)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     y_win = toxic[text].astype(np.float32)
-    t = 0
-    for epoch in range(epochs):
+    t = epoch = 0
+    while epoch < epochs or t < steps:
         vec = model.inputs(vocab)
         if epoch:
             now = model.scores(vec, codes, start, size)
@@ -235,26 +236,30 @@ def train(texts, toxic: np.ndarray, epochs: int = 6, batch: int = 128, rate: flo
             cells = codes[np.minimum(start[part, None] + np.arange(WIDTH), len(codes) - 1)]
             _, g = model.gradients(vocab, cells, mask, y_win[part])
             t += 1
+            pace = rate * (0.3 if epoch >= 2 * epochs / 3 and t >= 2 * steps / 3 else 1.0)
             for k, v in g.items():
                 m, s = state[k]
                 if k in ("word", "char"):  # only rows that had a gradient move
                     r = np.flatnonzero(np.any(v, 1))
                     m[r] = 0.9 * m[r] + 0.1 * v[r]
                     s[r] = 0.99 * s[r] + 0.01 * v[r] ** 2
-                    model.p[k][r] -= (0.1 * rate * m[r] / (np.sqrt(s[r]) + 1e-6)).astype(np.float32)
+                    model.p[k][r] -= (0.1 * pace * m[r] / (np.sqrt(s[r]) + 1e-6)).astype(np.float32)
                 else:
                     m[:] = 0.9 * m + 0.1 * v
                     s[:] = 0.99 * s + 0.01 * v**2
-                    model.p[k] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
+                    model.p[k] -= (pace * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
+        epoch += 1
     return model
 
 
 def _originals(codes: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """False for a text that shares a band of minimum hashes of its word pairs with an earlier one: copies are no evidence of their own."""
-    pair = (codes[:-1].astype(np.uint64) << np.uint64(32)) + codes[1:].astype(np.uint64) if len(codes) > 1 else np.zeros(0, np.uint64)
+    """False for a text that shares a band of minimum hashes of its four-word shingles with an earlier one: copies are no evidence of their own."""
+    pair = np.zeros(max(0, len(codes) - 3), np.uint64)
+    for k in range(4):
+        pair = Vocabulary._mix(pair + codes[k : k + len(pair)].astype(np.uint64) + np.uint64(1))
     seen, keep = set(), np.ones(len(before) - 1, bool)
     for d, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist())):
-        own = pair[a : b - 1]
+        own = pair[a : max(a, b - 3)]
         if not len(own):
             continue
         low = [int((Vocabulary._mix(own * np.uint64(2 * k + 1) + np.uint64(k))).min()) for k in range(12)]
@@ -288,34 +293,38 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = SAMPLE_TOXIC, clea
     import pyarrow as pa
 
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id"))).where(F.length("text").between(1, max_chars)).join(marks, "doc_id")
-    rows = []
-    for y, most in ((0, clean_docs), (1, toxic_docs)):
-        rows += known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "text").limit(most).select("text", "toxic").collect()
+    known = marks.where(~held_out(F.col("doc_id")))
+    some = lambda y, most: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = sampled_texts(docs, some(0, clean_docs).union(some(1, toxic_docs)), "toxic", max_chars)
     toxic = np.array([r["toxic"] for r in rows], float)
     if not 0 < toxic.sum() < len(toxic):
         raise ValueError("training needs labels of both kinds")
     return train(pa.array([r["text"] for r in rows], pa.string()), toxic)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted: one row per document, by a map over the scan."""
+def with_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of docs and __score, in a map over the scan."""
     known = docs.sparkSession.sparkContext.broadcast(model.p)
+    place = docs.columns.index("text")
 
-    def run(batches):
+    def run(b):
         import pyarrow as pa
 
         from larkspur.llm.toxicity import Model, Vocabulary, windows, words_of
 
         net = Model.__new__(Model)
         net.p = known.value
-        for b in sliced(batches):
-            words, codes, before = words_of(b.column(1))
-            out = np.zeros(b.num_rows)
-            if len(codes):
-                start, size, text = windows(before)
-                by = net.scores(net.inputs(Vocabulary(words)), codes, start, size)
-                np.maximum.at(out, text, by)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+        words, codes, before = words_of(b.column(place))
+        out = np.zeros(b.num_rows)
+        if len(codes):
+            start, size, text = windows(before)
+            np.maximum.at(out, text, net.scores(net.inputs(Vocabulary(words)), codes, start, size))
+        return [pa.array(out)]
+
+    return with_columns_by_batch(docs, run, "__score double")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, predicted: one row per document."""
+    scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
+    return scored.select("doc_id", F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
