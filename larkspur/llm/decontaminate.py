@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import sliced
+from larkspur.llm.runtime import sliced, with_columns_by_batch
 
 #: Benchmark text of one pass over the documents; a larger benchmark takes several passes, each over all documents.
 PASS_BYTES = 64 << 20
@@ -240,6 +240,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     )
 
 
+def contaminated_flag(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """All columns of docs and __contaminated (an occurrence of some window), in a map over the scan."""
+    spark = docs.sparkSession
+    bench = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = 1 + int(total) // PASS_BYTES
+    names, place = docs.columns, docs.columns.index("text")
+    out = docs
+    for k in range(passes):
+        part = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
+        block = spark.sparkContext.broadcast(Phrases([("", r["text"]) for r in part.toLocalIterator()], width))
+        out = with_columns_by_batch(out, _flagger(block, place), f"__hit{k} boolean")
+    hit = F.col("__hit0")
+    for k in range(1, passes):
+        hit = hit | F.col(f"__hit{k}")
+    return out.select(*[out[c] for c in names], hit.alias("__contaminated"))
+
+
+def _flagger(block, place: int):
+    def run(b):
+        import pyarrow as pa
+
+        from larkspur.llm.decontaminate import find
+
+        flags = np.zeros(b.num_rows, bool)
+        flags[find(b.column(place), block.value)[1][0]] = True
+        return [pa.array(flags)]
+
+    return run
+
+
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import ascii_lower, materialize, sliced
+from larkspur.llm.runtime import ascii_lower, materialize, sampled_texts, sliced
 
 #: Training documents of each language (those with the smallest hash of their id), and how many languages at most.
 SAMPLE_DOCS, MAX_LANGUAGES, SAMPLE_CHARS = 600, 64, 8000
@@ -77,19 +77,23 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_DOCS
     """Trigram models from a bounded sample of labelled documents."""
     import pyarrow as pa
 
-    known = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null").where(F.length("text").between(20, max_chars))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and doc_id is not null")
     names = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
     if not names:
         raise ValueError("training needs labelled documents")
+    some = [known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language) for name in names]
+    ids = some[0]
+    for x in some[1:]:
+        ids = ids.union(x)
+    rows = sampled_texts(docs, ids.distinct(), "lang", max_chars)
     counts, samples = np.zeros((len(names), SLOTS)), []
     for k, name in enumerate(names):
-        rows = known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id", "text"), "text").limit(per_language).select("text").collect()
-        samples.append(pa.array([r["text"] for r in rows], pa.string()))
+        samples.append(pa.array([r["text"] for r in rows if r["lang"] == name], pa.string()))
         counts[k] = np.bincount(trigrams(samples[-1])[0], minlength=SLOTS)
     table = np.log((counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * SLOTS)).astype(np.float32)
     model = TextModel(names, table)
     best = np.concatenate([model.mean_likelihoods(x)[1] for x in samples])
-    low, model.mean = np.percentile(best, [25, 50])
+    low, model.mean = np.percentile(best, [25, 50]) if len(best) else (0.0, 0.0)
     model.spread = max(0.05, (model.mean - low) / 0.6745)
     return model
 

@@ -23,14 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import connected_components
-from larkspur.llm.runtime import drop_path, materialize, scratch, sliced
+from larkspur.llm.runtime import by_filters, drop_path, id_filter, materialize, scratch, sliced
 
 HASHES, ROWS, BITS = 150, 5, 4
 BANDS = HASHES // ROWS
 #: Groups of up to SMALL rows are paired by a join (at most SMALL / 2 pairs a row), larger ones in blocks of BLOCK rows.
 SMALL, BLOCK = 32, 1024
-#: Bits of the filter that tells which documents' full sets are needed: FILTER_BITS_EACH for each id, at most 32 MB in all.
-FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 28
 #: Standard deviations that an estimate may lie below the threshold.
 MARGIN = 4.5
 
@@ -146,41 +144,6 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
-def id_filter(ids: DataFrame):
-    """A Bloom filter of bounded size over the ids of a one-column DataFrame, as a numpy array of 64-bit words."""
-    n = ids.count()
-    bits = 1 << 16
-    while bits < min(FILTER_BITS_MOST, FILTER_BITS_EACH * n):
-        bits *= 2
-    words = np.zeros(bits // 64, np.int64)
-    spot = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in range(3)]))
-    cells = ids.toDF("id").select(spot.alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(cast(1 as bigint), cast(s % 64 as int)))").alias("v"))
-    for batch in cells.toArrow().to_batches():
-        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return words
-
-
-def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id the filter lets through: all of ids, and few others. The texts of the rest never move."""
-    words = id_filter(ids)
-    bits = 64 * len(words)
-    known = docs.sparkSession.sparkContext.broadcast(words)
-    spots = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)).alias(f"s{k}") for k in range(3)]
-
-    def run(batches):
-        import pyarrow as pa
-
-        w = known.value.view(np.uint64)
-        for b in batches:
-            keep = np.ones(b.num_rows, bool)
-            for k in range(3):
-                s = b.column(2 + k).to_numpy().astype(np.int64)
-                keep &= (w[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["doc_id", "text"]).filter(pa.array(keep))
-
-    return docs.select("doc_id", "text", *spots).mapInArrow(run, "doc_id long, text string")
-
-
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, hashes (the whole set, 8 bytes each, sorted)."""
 
@@ -207,7 +170,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     path = scratch(docs.sparkSession, "sets")
-    sets = materialize(full_sets(_among(docs, ids), width), "sets", path)
+    # a filter of bounded size lets the documents in question through; the texts of the rest never move
+    sets = materialize(full_sets(by_filters(docs, [id_filter(ids)], lambda held: held), width), "sets", path)
 
     def run(batches):
         import pyarrow as pa
