@@ -7,8 +7,9 @@ corrected for chance collisions, estimates their similarity, and pairs that cann
 What remains is confirmed exactly on the full sets.
 
 Groups are never paired off in full. In every round each band's group is compared with one member of it, chosen anew;
-what is confirmed merges components, and groups within one component are done. When the rounds have no more to merge,
-the pairs of a group that lie in different components are compared signature by signature in square blocks.
+what is confirmed merges components, and groups within one component are done. What then still lies in different
+components of a group is compared signature by signature in square blocks. Where few pairs remain they are confirmed one
+by one; where many do, the full sets come to the block and only spanning links leave it.
 
 Cases: texts without words (null, empty, white space) have an empty set and link with nothing. A text with fewer words
 than a shingle is one shingle. Repeated rows (same doc_id) are each returned; documents with equal sets share a class.
@@ -219,51 +220,122 @@ def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, similar double")
 
 
-def _cross_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components within each band group, by square blocks.
+def _near(u, v, bu, bv, cu, cv, nu, nv, iu, iv, band: int, same: bool, percent: int, least: float):
+    """Index pairs of two blocks that lie in different components, may be similar, and share no band before this one."""
+    first, second = [], []
+    for i in range(len(u)):
+        ok = np.flatnonzero((cv != cu[i]) & (100 * np.minimum(nu[i], nv) >= percent * np.maximum(nu[i], nv)) & ((iv > iu[i]) if same else True))
+        if len(ok):
+            ok = ok[estimate(agreement(u[i], v[ok])) >= least]
+        if len(ok):
+            equal = bv[ok] == bu[i]
+            ok = ok[bu[i][equal.argmax(1)] == band]
+            first.append(np.full(len(ok), i))
+            second.append(ok)
+    if not first:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(first), np.concatenate(second)
 
-    groups: band, id, comp, n, signature. A group is dealt into blocks of about BLOCK rows by a hash of the id; each
-    pair of blocks is one unit of work, so a task holds two blocks however large the group is. Only pairs that the
-    signatures allow come out.
+
+def _blocks(rows, lo: int, hi: int):
+    left = rows if lo == hi else rows[rows.k == lo]
+    right = rows if lo == hi else rows[rows.k == hi]
+    array = lambda r: (np.frombuffer(b"".join(r.signature), np.uint8).reshape(len(r), -1), np.stack(r.bands.to_list()), r.comp.to_numpy(), r.n.to_numpy(), r.id.to_numpy())
+    return left, right, array
+
+
+#: A unit gives back up to DENSE pairs for each of its rows; beyond that its rows' full sets are compared in place.
+DENSE = 2
+
+CROSS = "band long, lo int, hi int, dense boolean, a long, b long"
+
+
+def _cross_units(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What may be similar in each band group across components: pairs, and the units in which pairs are too many.
+
+    groups: band, id, comp, n, signature, bands. A group is dealt into blocks of about BLOCK rows by a hash of the id;
+    each pair of blocks is one unit of work, so a task holds two blocks however large the group is. A pair belongs to
+    the first band it shares. What comes out is at most DENSE times what goes in.
     """
     least = least_estimate(percent / 100)
     size = groups.groupBy("band").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     mixed = groups.join(size, "band")
     few = mixed.where(F.col("m") <= SMALL).select("band", "id", "comp")
     met = few.alias("x").join(few.alias("y"), "band").where("x.id < y.id and x.comp <> y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    small = _plausible(met, groups.select(F.col("id").alias("doc_id"), "signature", F.col("n").alias("n_shingles")).distinct(), percent).select("a", "b")
+    small = _plausible(met, groups.select(F.col("id").alias("doc_id"), "signature", F.col("n").alias("n_shingles")).dropDuplicates(["doc_id", "signature"]), percent)
+    small = small.select(F.lit(0).cast("long").alias("band"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(False).alias("dense"), "a", "b")
     dealt = mixed.where(F.col("m") > SMALL).withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block k takes part in the units (k, j) and (j, k)
     units = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("band", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), "k", "id", "comp", "n", "signature")
-    schema = "a long, b long"
+    units = units.select("band", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), "k", "id", "comp", "n", "signature", "bands")
 
     def run(key, rows):
         import pandas as pd
 
-        from larkspur.llm.minhash import agreement, estimate
+        from larkspur.llm.minhash import DENSE, _blocks, _near
+
+        band, lo, hi = (int(x) for x in key)
+        left, right, array = _blocks(rows, lo, hi)
+        out = {"band": [], "lo": [], "hi": [], "dense": [], "a": [], "b": []}
+        if len(left) and len(right):
+            (u, bu, cu, nu, iu), (v, bv, cv, nv, iv) = array(left), array(right)
+            i, j = _near(u, v, bu, bv, cu, cv, nu, nv, iu, iv, band, lo == hi, percent, least)
+            dense = len(i) > DENSE * (len(left) + len(right))
+            if dense:
+                a = np.unique(np.concatenate([iu[np.unique(i)], iv[np.unique(j)]]))
+                b = a
+            else:
+                a, b = np.minimum(iu[i], iv[j]), np.maximum(iu[i], iv[j])
+            out = {"band": np.full(len(a), band), "lo": lo, "hi": hi, "dense": dense, "a": a, "b": b}
+        return pd.DataFrame(out)
+
+    found = units.groupBy("band", "lo", "hi").applyInPandas(run, CROSS)
+    return materialize(found.union(small), "cross"), units
+
+
+def _dense_links(found: DataFrame, units: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Exact links in the units with too many pairs: their rows come with their full sets; out come spanning links only."""
+    least = least_estimate(percent / 100)
+    rows = found.where("dense").select("band", "lo", "hi", F.col("a").alias("id"))
+    sets = materialize(full_sets(by_filters(docs, [id_filter(rows.select("id").distinct())], lambda held: held), width), "sets")
+    joined = units.join(rows, ["band", "lo", "hi", "id"]).join(sets.withColumnRenamed("doc_id", "id"), "id")
+
+    def run(key, rows):
+        import pandas as pd
+
+        from larkspur.llm.minhash import _blocks, _near
+
+        band, lo, hi = (int(x) for x in key)
+        left, right, array = _blocks(rows, lo, hi)
+        links = []
+        if len(left) and len(right):
+            (u, bu, cu, nu, iu), (v, bv, cv, nv, iv) = array(left), array(right)
+            up = {c: c for c in {*cu.tolist(), *cv.tolist()}}
+
+            def root(x):
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            su = [np.frombuffer(x, np.uint64) for x in left.hashes]
+            sv = [np.frombuffer(x, np.uint64) for x in right.hashes]
+            for i, j in zip(*(x.tolist() for x in _near(u, v, bu, bv, cu, cv, nu, nv, iu, iv, band, lo == hi, percent, least))):
+                p, q = root(int(cu[i])), root(int(cv[j]))
+                if p == q:
+                    continue
+                both = np.concatenate([su[i], sv[j]])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= percent * (len(both) - common):
+                    up[max(p, q)] = min(p, q)
+                    links.append((int(iu[i]), int(iv[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return materialize(joined.groupBy("band", "lo", "hi").applyInPandas(run, "a long, b long"), "links")
+
 
-        _, lo, hi = (int(x) for x in key)
-        left = rows if lo == hi else rows[rows.k == lo]
-        right = rows if lo == hi else rows[rows.k == hi]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        u = np.frombuffer(b"".join(left.signature), np.uint8).reshape(len(left), -1)
-        v = np.frombuffer(b"".join(right.signature), np.uint8).reshape(len(right), -1)
-        ri, rc, rn = right.id.to_numpy(), right.comp.to_numpy(), right.n.to_numpy()
-        out = []
-        for i, (x, c, n) in enumerate(zip(left.id.to_numpy(), left.comp.to_numpy(), left.n.to_numpy())):
-            ok = np.flatnonzero((rc != c) & (100 * np.minimum(n, rn) >= percent * np.maximum(n, rn)) & (ri > x if lo == hi else True))
-            if len(ok):
-                ok = ok[estimate(agreement(u[i], v[ok])) >= least]
-                out.append(np.stack([np.minimum(x, ri[ok]), np.maximum(x, ri[ok])], 1))
-        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-    return units.groupBy("band", "lo", "hi").applyInPandas(run, schema).union(small).distinct()
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: one row per document row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -301,12 +373,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
         tried = pairs if tried is None else tried.union(pairs)
         edges = edges.union(confirm(pairs, docs, width, percent))
         comp = materialize(connected_components(edges), "components")
-    rest = _cross_pairs(state().join(reps.select(F.col("doc_id").alias("id"), "signature", F.col("n_shingles").alias("n")), "id"), percent)
+    full = classes.select(F.col("rep").alias("id"), "signature", F.col("n_shingles").alias("n"), "bands")
+    found, units = _cross_units(materialize(state().join(full, "id"), "state"), percent)
+    rest = found.where("not dense").select("a", "b").distinct()
     if tried is not None:
         rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = materialize(rest, "pairs")
-    if not rest.isEmpty():
-        edges = edges.union(confirm(rest, docs, width, percent))
+    last = [confirm(rest, docs, width, percent)] if not rest.isEmpty() else []
+    if not found.where("dense").isEmpty():
+        last.append(_dense_links(found, units, docs, width, percent))
+    for x in last:
+        edges = edges.union(x)
+    if last:
         comp = materialize(connected_components(edges), "components")
     members = members.join(comp, members["rep"] == comp["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles").join(members, "doc_id", "left")

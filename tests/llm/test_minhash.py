@@ -55,6 +55,7 @@ def corpus(rng):
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(M, "SMALL", 4)
     monkeypatch.setattr(M, "BLOCK", 7)
+    monkeypatch.setattr(M, "DENSE", 0.1)
     rows = corpus(random.Random(11))
     rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "one two"), (5004, "ONE\ttwo"), (5005, "x " * 60_000), (10, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
