@@ -14,6 +14,7 @@ import tempfile
 import threading
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +47,7 @@ class Result:
     def rows(self) -> list[tuple]:
         try:
             return [] if self.df is None else [tuple(r) for r in self.df.collect()]
-        except PySparkException as e:
+        except (PySparkException, Py4JJavaError) as e:
             raise from_spark(e) from e
 
 
@@ -276,7 +277,7 @@ class Session:
                 self._end(False)
             elif self.in_tx:
                 self.failed = True
-            if isinstance(e, PySparkException):
+            if isinstance(e, PySparkException | Py4JJavaError):
                 raise from_spark(e) from e
             raise
         finally:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class SqlError(Exception):
     def __init__(self, sqlstate: str, message: str):
@@ -13,13 +15,18 @@ class SqlError(Exception):
 _BY_CLASS = {"CAST_INVALID_INPUT": "22P02", "AMBIGUOUS_REFERENCE": "42702", "TABLE_OR_VIEW_NOT_FOUND": "42P01", "UNRESOLVED_COLUMN.WITH_SUGGESTION": "42703", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION": "42703", "MISSING_AGGREGATION": "42803", "SCALAR_SUBQUERY_TOO_MANY_ROWS": "21000", "CAST_OVERFLOW": "22003"}
 
 
+_CLASS = re.compile(r"\[([A-Z][A-Z0-9_.]+)\] ([^\n]*?)(?: SQLSTATE: (\w{5}))?(?:;|\n|$)")
+_OWN = re.compile(r"#(\w{5})#([^#\n]*)#")
+#: Classes that only wrap another failure.
+_WRAPPERS = frozenset(["TASK_WRITE_FAILED", "FAILED_EXECUTE_UDF"])
+
+
 def from_spark(e: Exception) -> SqlError:
-    """The error that a client of the dialect expects for one of Spark's."""
-    get = getattr(e, "getCondition", None) or getattr(e, "getErrorClass", lambda: None)
-    name = get() or ""
-    text = str(e).split("\n")[0]
-    if name == "USER_RAISED_EXCEPTION" and "#" in text:
-        state = text.split("#")[1]
-        return SqlError(state, text.split("#")[2])
-    state = _BY_CLASS.get(name) or (getattr(e, "getSqlState", lambda: None)() or "XX000")
-    return SqlError(state, text)
+    """The error that a client of the dialect expects for one of Spark's, be it raised in a plan or in a task."""
+    message = str(e)
+    if own := _OWN.search(message):
+        return SqlError(own[1], own[2])
+    for name, text, state in _CLASS.findall(message):
+        if name not in _WRAPPERS:
+            return SqlError(_BY_CLASS.get(name) or state or "XX000", text)
+    return SqlError("XX000", message.split("\n")[0])

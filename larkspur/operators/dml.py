@@ -55,6 +55,21 @@ def _lock(session, meta: TableMeta, ids: DataFrame) -> None:
             raise SqlError("55P03", f"could not obtain lock on row in relation {meta.name!r}")
 
 
+def _parents(session, meta: TableMeta, *now: DataFrame):
+    """How a foreign key check reads tables: the changed one as it will be, for keys that point to itself."""
+    names = [c.name for c in meta.columns]
+
+    def read(table_id: int) -> DataFrame:
+        if table_id != meta.id:
+            return session.read_id(table_id)
+        out = now[0].select(*map(_c, names))
+        for df in now[1:]:
+            out = out.union(df.select(*map(_c, names)))
+        return out
+
+    return read
+
+
 def returning(session, items, rows: DataFrame, alias: str, emitter, extra: dict | None = None) -> DataFrame | None:
     """rows: the table's columns; extra: (qualifier, column) -> hidden column of a joined source."""
     if items is None:
@@ -101,7 +116,7 @@ def insert(session, s: A.Insert, em) -> tuple[int, DataFrame | None]:
     existing = session.read(meta)
     if s.conflict is None:
         K.check_unique(rows, existing, meta)
-        K.check_foreign(rows, meta, session.read_id)
+        K.check_foreign(rows, meta, _parents(session, meta, existing, rows))
         stored = _store(session, meta, rows.drop("__ord"), None)
         return count, returning(session, s.returning, stored, meta.name, em)
     return _conflict(session, meta, s, rows, existing, em)
@@ -192,7 +207,7 @@ def _conflict(session, meta, s, rows, existing, em):
             first = full.withColumn("__n", F.row_number().over(Window.partitionBy(*cols).orderBy("__ord"))).where("__n = 1").drop("__n")
             keep = first.join(existing.select(*cols), key.columns, "left_anti").select(*rows.columns).union(odd.select(*rows.columns))
         K.check_unique(keep, existing, meta, rest)
-        K.check_foreign(keep, meta, session.read_id)
+        K.check_foreign(keep, meta, _parents(session, meta, existing, keep))
         stored = _store(session, meta, keep, None)
         return stored.count(), returning(session, s.returning, stored, meta.name, em)
     return _upsert(session, meta, s, rows, existing, target[0], em)
@@ -238,7 +253,7 @@ def _upsert(session, meta, s, rows, existing, key, em):
     count = int(touched.agg(F.coalesce(F.sum("__touched"), F.lit(0))).first()[0])
     K.check_not_null(touched, meta)
     K.check_unique(touched, state.where("__touched = 0"), meta)
-    K.check_foreign(touched, meta, session.read_id)
+    K.check_foreign(touched, meta, _parents(session, meta, state))
     old = touched.where(_c(ROW_ID).isNotNull())
     _guard_parents(session, meta, old, existing, [c for c, _ in s.conflict.sets])
     _lock(session, meta, old)
@@ -279,7 +294,7 @@ def update(session, s: A.Update, em) -> tuple[int, DataFrame | None]:
     others = rows.join(hit.select(ROW_ID), ROW_ID, "left_anti")
     if changed:
         K.check_unique(hit, others, meta, changed)
-    K.check_foreign(hit, meta, session.read_id if not any(f.target == meta.id for f in meta.constraints) else lambda t: others.select(*names).union(hit.select(*names)) if t == meta.id else session.read_id(t))
+    K.check_foreign(hit, meta, _parents(session, meta, others, hit))
     _guard_parents(session, meta, hit, rows, list(sets))
     _lock(session, meta, hit)
     count = hit.count()

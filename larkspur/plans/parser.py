@@ -640,6 +640,8 @@ class Parser:
                 return A.Cast(A.Lit(s, "string"), kind)
             if t.text == "exists":
                 self.no("EXISTS")
+        if t.kind == "word" and t.text in _RESERVED:
+            raise SqlError("42601", f"syntax error at {t.text!r}")
         parts = self.dotted()
         if self.take("("):
             return self.call(parts[-1])
