@@ -30,6 +30,8 @@ HASHES, ROWS, BITS = 150, 5, 4
 BANDS = HASHES // ROWS
 #: Groups of up to SMALL rows are paired by a join (at most SMALL / 2 pairs a row), larger ones in blocks of BLOCK rows.
 SMALL, BLOCK = 32, 1024
+#: Bytes of text whose shingles a worker holds at once.
+SLICE = 2 << 20
 #: Standard deviations that an estimate may lie below the threshold.
 MARGIN = 4.5
 
@@ -124,9 +126,9 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
         import pyarrow as pa
 
-        from larkspur.llm.minhash import BANDS, ROWS, minima, pack_bits, shingle_sets
+        from larkspur.llm.minhash import BANDS, ROWS, SLICE, minima, pack_bits, shingle_sets
 
-        for b in sliced(batches):
+        for b in sliced(batches, most=SLICE):
             h, before = shingle_sets(b.column(1), width)
             low = minima(h, before)
             raw = memoryview(h.tobytes())
@@ -151,9 +153,9 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        from larkspur.llm.minhash import shingle_sets
+        from larkspur.llm.minhash import SLICE, shingle_sets
 
-        for b in sliced(batches):
+        for b in sliced(batches, most=SLICE):
             h, before = shingle_sets(b.column(1), width)
             raw = memoryview(h.tobytes())
             for i in range(0, b.num_rows, 500):
