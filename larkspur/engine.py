@@ -67,6 +67,12 @@ class Engine:
     def session(self) -> "Session":
         return Session(self)
 
+    def close(self) -> None:
+        """Delete the tables' files."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.storage.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def register(self, name: str, df: DataFrame) -> None:
         """Make a DataFrame (a Parquet table, say) readable under a name. It is scanned where it is."""
         self.sources[name] = df

@@ -127,14 +127,23 @@ def _default(meta_col, em) -> str:
 
 
 def _identity(session, meta, df: DataFrame, taken: list[str]) -> DataFrame:
-    """Identity columns without given values: a counter in steps, in input order."""
-    for c in meta.columns:
-        if c.identity is None or c.name in taken:
-            continue
-        n = df.count()
-        first = session.next_identity(meta.id, c, n)
-        df = df.withColumn(c.name, F.lit(first) + (F.row_number().over(Window.orderBy("__ord")) - 1).cast("long") * c.identity["step"])
-    return df
+    """Identity columns without given values: a counter in steps, in input order.
+
+    __ord holds a row's partition and its place there; the rows before each partition are counted, so no row moves.
+    """
+    missing = [c for c in meta.columns if c.identity is not None and c.name not in taken]
+    if not missing:
+        return df
+    df = session.spark.read.parquet(session.storage.write(df))
+    part = F.shiftrightunsigned("__ord", 33)
+    sizes = df.groupBy(part.alias("__p")).count()
+    before = sizes.select("__p", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    n = sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    df = df.join(before, part == F.col("__p"))
+    place = F.col("__before") + F.col("__ord").bitwiseAND((1 << 33) - 1)
+    for c in missing:
+        df = df.withColumn(c.name, F.lit(session.next_identity(meta.id, c, n)) + place * c.identity["step"])
+    return df.drop("__p", "__before")
 
 
 def _guard_identity(meta, s, names, given) -> None:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.engine import Engine, Session
+from larkspur.errors import SqlError
+from larkspur.sources.text import as_text
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -41,6 +43,30 @@ def script(name: str, statements: list[str], oracle: str) -> None:
     ORACLES[name] = oracle
 
 
+def state(name: str, setup: list[str], bad: str, sqlstate: str) -> None:
+    """The SQLSTATE that a statement fails with."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = open_session(spark, sf_dir)
+        for sql in setup:
+            s.execute_batch(sql)
+        try:
+            s.execute(bad).rows()
+            got = "00000"
+        except SqlError as e:
+            got = e.sqlstate
+        return spark.createDataFrame([(got,)], "sqlstate string")
+
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT '{sqlstate}' AS sqlstate"
+
+
+def calls(name: str, f, schema: str, oracle: str) -> None:
+    """Rows that f(engine's first session) gives."""
+    QUERIES[name] = lambda spark, sf_dir: spark.createDataFrame(f(open_session(spark, sf_dir)), schema)
+    ORACLES[name] = oracle
+
+
 FLAGSHIP = """
 SELECT c_mktsegment, count(*) AS n_lines, sum(l_extendedprice * (1 - l_discount)) AS revenue
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -59,6 +85,8 @@ script("S3_values_rows", ["CREATE TABLE t (a int, b text)", "INSERT INTO t VALUE
 query("S4_literal_select", "SELECT 1 AS a, 'x' AS b, 1.5 AS c, true AS d", "SELECT 1 AS a, 'x' AS b, 1.5::DOUBLE AS c, true AS d")
 query("S5_derived_table", "SELECT d.k, d.n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) d WHERE d.n > 10")
 script("S6_system_catalog", ["CREATE SCHEMA s1", "CREATE TABLE s1.t (a int)", "CREATE TABLE u (a int PRIMARY KEY)", "SELECT schemaname, tablename, hasindexes FROM pg_catalog.pg_tables"], "SELECT * FROM (VALUES ('s1', 't', false), ('public', 'u', true)) t(schemaname, tablename, hasindexes)")
+QUERIES["S7_text_rows"] = lambda spark, sf_dir: as_text(open_session(spark, sf_dir).query("SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice > 100000 AS b, o_custkey * 1.0 AS f FROM orders"))
+ORACLES["S7_text_rows"] = "SELECT o_orderkey::VARCHAR AS k, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS d, CASE WHEN o_totalprice > 100000 THEN 't' ELSE 'f' END AS b, o_custkey::VARCHAR AS f FROM orders"
 query("S8_parameters", "SELECT o_orderkey FROM orders WHERE o_totalprice > $1 AND o_orderpriority = $2", "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000 AND o_orderpriority = '1-URGENT'", (250000, "1-URGENT"))
 # ---- projections
 query("P1_expressions", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem")
@@ -171,4 +199,77 @@ script("T1_commit", [_ORDERS, "BEGIN", _FILL, "DELETE FROM o WHERE s = 'F'", "CO
 script("T4_for_update", ["CREATE TABLE j (id int PRIMARY KEY, ready boolean)", "INSERT INTO j VALUES (3, true), (1, false), (2, true), (4, true)", "SELECT id FROM j WHERE ready ORDER BY id FOR UPDATE SKIP LOCKED LIMIT 2"], "SELECT * FROM (VALUES (2), (3)) t(id)")
 script("T6_freeze_reset", ["CREATE TABLE t (a int)", "INSERT INTO t VALUES (1)", "SELECT engine_freeze()", "INSERT INTO t VALUES (2)", "SELECT engine_reset()", "SELECT a FROM t"], "SELECT 1 AS a")
 script("T8_settings", ["SET search_path TO s2, public", "CREATE SCHEMA s2", "CREATE TABLE t (a int)", "INSERT INTO s2.t VALUES (5)", "SELECT a, current_schema() AS s FROM t"], "SELECT 5 AS a, 's2' AS s")
+# ---- checks, counts and sessions
+_PAIR = "CREATE TABLE a (k int PRIMARY KEY, u int UNIQUE); CREATE TABLE b (k int PRIMARY KEY, a int REFERENCES a (k)); INSERT INTO a VALUES (1, 1), (2, 2); INSERT INTO b VALUES (1, 1)"
+state("A11_group_by_validity", [], "SELECT o_custkey, count(*) FROM orders", "42803")
+state("D11_not_null", [_PAIR], "INSERT INTO a VALUES (NULL, 3)", "23502")
+state("K1_primary_key", [_PAIR], "INSERT INTO a VALUES (1, 3)", "23505")
+state("K2_unique", [_PAIR], "INSERT INTO a VALUES (3, 2)", "23505")
+state("K3_foreign_key", [_PAIR], "INSERT INTO b VALUES (2, 9)", "23503")
+state("K4_referenced_key", [_PAIR], "UPDATE a SET k = 9 WHERE k = 1", "0A000")
+state("K5_foreign_key_target", [_PAIR], "CREATE TABLE c (x int REFERENCES b (a))", "42830")
+state("E4_add_primary_key", ["CREATE TABLE t (a int)", "INSERT INTO t VALUES (1), (1)"], "ALTER TABLE t ADD PRIMARY KEY (a)", "23505")
+state("E5_add_unique", ["CREATE TABLE t (a int)", "INSERT INTO t VALUES (1), (1)"], "ALTER TABLE t ADD CONSTRAINT u UNIQUE (a)", "23505")
+state("E6_add_foreign_key", [_PAIR, "CREATE TABLE t (a int)", "INSERT INTO t VALUES (7)"], "ALTER TABLE t ADD FOREIGN KEY (a) REFERENCES a (k)", "23503")
+state("E7_check_is_recorded", ["CREATE TABLE t (a int)", "ALTER TABLE t ADD CONSTRAINT c CHECK (a > 0)"], "INSERT INTO t VALUES (-1)", "00000")
+state("E9_drop_table", [_PAIR], "DROP TABLE a", "2BP01")
+state("E10_drop_schema", ["CREATE SCHEMA s1", "CREATE TABLE s1.t (a int)"], "DROP SCHEMA s1", "2BP01")
+state("E11_unique_index", ["CREATE TABLE t (a int)", "CREATE UNIQUE INDEX ux ON t (a)", "INSERT INTO t VALUES (1)"], "INSERT INTO t VALUES (1)", "23505")
+state("E12_no_databases", [], "CREATE DATABASE d", "0A000")
+script("E1_create_table", [_PAIR, "SELECT k, u FROM a"], "SELECT * FROM (VALUES (1, 1), (2, 2)) t(k, u)")
+calls("D9_affected_rows", lambda s: [(s.execute(_ORDERS).tag, s.execute(_FILL).count, s.execute("UPDATE o SET p = 0 WHERE s = 'F'").count, s.execute("DELETE FROM o WHERE s = 'F'").count)], "t string, i long, u long, d long", "SELECT 'CREATE TABLE' AS t, count(*) AS i, count(*) FILTER (WHERE o_orderstatus = 'F') AS u, count(*) FILTER (WHERE o_orderstatus = 'F') AS d FROM orders")
+query("O3_nan_order", "SELECT k, row_number() OVER (ORDER BY CASE WHEN k = 3 THEN 'NaN'::float8 ELSE k * 1.0 END DESC, k) AS rn FROM (SELECT n_nationkey AS k FROM nation) d", "SELECT k, row_number() OVER (ORDER BY CASE WHEN k = 3 THEN 'NaN'::DOUBLE ELSE k * 1.0::DOUBLE END DESC, k) AS rn FROM (SELECT n_nationkey AS k FROM nation) d")
+
+
+def _first_source_row(s: Session):
+    s.execute_batch("CREATE TABLE t (k int, v int); INSERT INTO t VALUES (1, 0), (2, 0); CREATE TABLE u (k int, v int); INSERT INTO u VALUES (1, 5), (1, 5), (3, 7)")
+    return [(s.execute("UPDATE t SET v = u.v FROM u WHERE u.k = t.k").count, *(r[0] for r in s.execute("SELECT v FROM t ORDER BY k").rows()))]
+
+
+calls("J8_first_source_row", _first_source_row, "n long, a int, b int", "SELECT 1::BIGINT AS n, 5 AS a, 0 AS b")
+
+
+def _two_sessions(s: Session):
+    t = s.engine.session()
+    s.execute_batch("CREATE TABLE t (k int PRIMARY KEY, v int); INSERT INTO t VALUES (1, 1), (2, 2)")
+    s.execute("BEGIN")
+    s.execute("UPDATE t SET v = 9 WHERE k = 1")
+    seen = t.execute("SELECT v FROM t WHERE k = 1").rows()[0][0]
+    try:
+        t.execute("UPDATE t SET v = 8 WHERE k = 1")
+        locked = "00000"
+    except SqlError as e:
+        locked = e.sqlstate
+    s.execute("COMMIT")
+    return [(seen, locked, t.execute("SELECT v FROM t WHERE k = 1").rows()[0][0])]
+
+
+calls("T2_read_committed", _two_sessions, "before int, locked string, after int", "SELECT 1 AS before, '55P03' AS locked, 9 AS after")
+QUERIES["T5_locks_of_changes"], ORACLES["T5_locks_of_changes"] = QUERIES["T2_read_committed"], ORACLES["T2_read_committed"]
+
+
+def _batch(s: Session):
+    s.execute("CREATE TABLE t (k int PRIMARY KEY)")
+    try:
+        s.execute_batch("INSERT INTO t VALUES (1); INSERT INTO t VALUES (1)")
+    except SqlError:
+        pass
+    return [(s.execute("SELECT count(*) FROM t").rows()[0][0],)]
+
+
+calls("T3_implicit_transaction", _batch, "n long", "SELECT 0::BIGINT AS n")
+
+
+def _released(s: Session):
+    t = s.engine.session()
+    s.execute("SELECT pg_advisory_lock(1)")
+    s.close()
+    t.execute("SELECT pg_advisory_lock(1)")
+    return [(t.execute("SELECT pg_advisory_unlock(1)").rows()[0][0],)]
+
+
+calls("T9_locks_end_with_session", _released, "freed boolean", "SELECT true AS freed")
+calls("T10_statement_splitting", lambda s: [(len(s.execute_batch("SELECT 'a;b'; -- no; \n SELECT 1")),)], "n int", "SELECT 2 AS n")
+calls("T11_prepared", lambda s: s.prepare("SELECT n_name FROM nation WHERE n_nationkey = $1").execute(3).rows(), "n_name string", "SELECT n_name FROM nation WHERE n_nationkey = 3")
+QUERIES["T7_reset"], ORACLES["T7_reset"] = QUERIES["T6_freeze_reset"], ORACLES["T6_freeze_reset"]
 query("flagship_revenue", FLAGSHIP)

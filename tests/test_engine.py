@@ -189,6 +189,11 @@ def test_prepared_settings_identity(s):
     assert rows(s, "SELECT i, a, at IS NOT NULL FROM t ORDER BY i") == [(1, "x", True), (2, None, True)]
     fails(s, "428C9", "INSERT INTO t (i, a) VALUES (9, 'y')")
     s.execute("INSERT INTO t (i, a) OVERRIDING SYSTEM VALUE VALUES (9, 'y')")
+    s.execute("CREATE TABLE many (i bigint GENERATED BY DEFAULT AS IDENTITY (START WITH 5 INCREMENT BY 2), a text)")
+    s.engine.register("src", s.spark.range(0, 40, 1, 4).selectExpr("cast(id as string) AS a"))
+    s.execute("INSERT INTO many (a) SELECT a FROM src")
+    s.execute("INSERT INTO many (a) VALUES ('z')")
+    assert sorted(r[0] for r in rows(s, "SELECT i FROM many")) == list(range(5, 87, 2))
     fails(s, "42601", "SELECT 1; SELECT 2")
     assert rows(s, "SHOW search_path") == [("public",)]
     fails(s, "42704", "SHOW nothing")
