@@ -77,7 +77,8 @@ def host_reputation(parsed: DataFrame, outcomes: DataFrame, strength: float = 20
     suf = dom.groupBy("suf").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     top = suf.agg(F.sum("sn").alias("tn"), F.sum("sb").alias("tb"))
     k = F.lit(strength)
-    suf = suf.crossJoin(F.broadcast(top)).select("suf", ((F.col("sb") + k * (F.col("tb") + 1) / (F.col("tn") + 2)) / (F.col("sn") + k)).alias("sm"))
+    every = F.when(F.col("tn") > 0, (F.col("tb") + 1) / (F.col("tn") + 2))  # null without labels: nothing is known
+    suf = suf.crossJoin(F.broadcast(top)).select("suf", ((F.col("sb") + k * every) / (F.col("sn") + k)).alias("sm"))
     dom = dom.join(suf, "suf").select("dom", ((F.col("db") + k * F.col("sm")) / (F.col("dn") + k)).alias("dm"))
     a, b = F.col("bad") + k * F.col("dm"), F.col("n") - F.col("bad") + k * (1 - F.col("dm"))
     mean = a / (a + b)
