@@ -7,7 +7,7 @@ never counts in its own prior. How far a declared language can be trusted is lea
 
 Cases: null, empty and letterless texts carry no evidence and are rejected with language "und". Null declared languages,
 urls and hosts add nothing. Texts of any length are read whole. Repeated rows are each judged. An empty table gives no
-rows; fit() without labelled rows raises ValueError. Extra columns are ignored.
+rows; fit() without labelled rows raises NoLabels. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,6 +57,10 @@ def trigrams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, text, np.bincount(text, minlength=n).astype(np.int64)
 
 
+class NoLabels(ValueError):
+    """There is nothing to learn from."""
+
+
 class TextModel:
     def __init__(self, names: list[str], table: np.ndarray):
         self.names, self.table, self.mean, self.spread = names, np.concatenate([table, table.max(0, keepdims=True)]), 0.0, 1.0
@@ -80,7 +84,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_DOCS
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and doc_id is not null")
     names = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
     if not names:
-        raise ValueError("training needs labelled documents")
+        raise NoLabels("training needs labelled documents")
     some = [known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language) for name in names]
     ids = some[0]
     for x in some[1:]:

@@ -9,7 +9,7 @@ epoch and the highest ones of clean documents as counter-examples.
 The first component of each embedding starts at the smoothed log-odds of its words or n-grams in the training sample.
 
 Cases: null, empty and wordless texts score 0. Texts of any length are scored whole. Repeated rows are each scored. An
-empty table gives no rows; without labels of both kinds fit() raises ValueError. Extra columns are ignored.
+empty table gives no rows; without labels of both kinds fit() raises NoLabels. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,6 +89,10 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-x))
 
 
+class NoLabels(ValueError):
+    """There is nothing to learn from."""
+
+
 class Model:
     def __init__(self, seed: int = 7):
         g = np.random.default_rng(seed)
@@ -298,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = SAMPLE_TOXIC, clea
     rows = sampled_texts(docs, some(0, clean_docs).union(some(1, toxic_docs)), "toxic", max_chars)
     toxic = np.array([r["toxic"] for r in rows], float)
     if not 0 < toxic.sum() < len(toxic):
-        raise ValueError("training needs labels of both kinds")
+        raise NoLabels("training needs labels of both kinds")
     return train(pa.array([r["text"] for r in rows], pa.string()), toxic)
 
 
