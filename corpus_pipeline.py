@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5 stay."""
     try:
         model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    except ValueError:
+    except toxicity.NoLabels:
         return docs
     return toxicity.with_scores(docs, model).where(F.col("__score") < 0.5).drop("__score")
 
@@ -35,7 +35,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents in a known language stay; an id goes if all its rows are rejected."""
     try:
         model = language.fit(docs)
-    except ValueError:
+    except language.NoLabels:
         return docs
     rows = docs.select("doc_id", "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"))
     judged = materialize(language.identify(rows, model).select("doc_id", "accepted"), "judged")
