@@ -211,7 +211,10 @@ class Model:
 
 
 def train(texts, toxic: np.ndarray, epochs: int = 6, steps: int = 600, batch: int = 96, rate: float = 0.01, seed: int = 7) -> Model:
-    """Fit a model to whole texts (an Arrow array) and their 0/1 labels, in so many epochs and steps at least; the last third goes slower."""
+    """Fit a model to whole texts (an Arrow array) and their 0/1 labels, in so many epochs and steps at least; the last third goes slower.
+
+    Windows are chosen once an epoch; with few of them, an epoch goes over them several times.
+    """
     words, codes, before = words_of(texts)
     vocab = Vocabulary(words)
     start, size, text = windows(before)
@@ -220,8 +223,8 @@ def train(texts, toxic: np.ndarray, epochs: int = 6, steps: int = 600, batch: in
     rng = np.random.default_rng(seed)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     y_win = toxic[text].astype(np.float32)
-    t = epoch = 0
-    while epoch < epochs or t < steps:
+    t = 0
+    for epoch in range(epochs):
         vec = model.inputs(vocab)
         if epoch:
             now = model.scores(vec, codes, start, size)
@@ -233,14 +236,16 @@ def train(texts, toxic: np.ndarray, epochs: int = 6, steps: int = 600, batch: in
         head = np.searchsorted(text[order], np.arange(len(toxic)))
         rank[order] = np.arange(len(order)) - head[text[order]]
         chosen = np.flatnonzero((rank == 0) | (y_win == 0) & ((rank == 1) | (rng.random(len(text)) < len(toxic) / max(1, len(text)))))
-        rng.shuffle(chosen)
-        for i in range(0, len(chosen), batch):
-            part = chosen[i : i + batch]
+        passes = max(1, -(-steps // (epochs * max(1, -(-len(chosen) // batch)))))
+        for i in range(0, passes * len(chosen), batch):
+            if i % len(chosen) < batch:
+                rng.shuffle(chosen)
+            part = chosen[np.arange(i, min(i + batch, passes * len(chosen))) % len(chosen)]
             mask = np.arange(WIDTH) < size[part, None]
             cells = codes[np.minimum(start[part, None] + np.arange(WIDTH), len(codes) - 1)]
             _, g = model.gradients(vocab, cells, mask, y_win[part])
             t += 1
-            pace = rate * (0.3 if epoch >= 2 * epochs / 3 and t >= 2 * steps / 3 else 1.0)
+            pace = rate * (0.3 if epoch >= 2 * epochs / 3 else 1.0)
             for k, v in g.items():
                 m, s = state[k]
                 if k in ("word", "char"):  # only rows that had a gradient move
@@ -252,7 +257,6 @@ def train(texts, toxic: np.ndarray, epochs: int = 6, steps: int = 600, batch: in
                     m[:] = 0.9 * m + 0.1 * v
                     s[:] = 0.99 * s + 0.01 * v**2
                     model.p[k] -= (pace * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
-        epoch += 1
     return model
 
 
