@@ -105,7 +105,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(table(spark, sf_dir, "pages"))
     host, _ = url_filter.host_path(F.col("__u"))
     pages = pages.select((-1 - F.col("page_id")).alias("doc_id"), "text", F.col("declared_lang").alias("declared"), F.coalesce("url", F.lit("")).alias("__u")).select("doc_id", "text", "declared", host.alias("host"))
-    return language.identify(own.unionByName(pages), language.fit(docs))
+    return language.identify(own.unionByName(pages), language.fit(docs)).withColumn("kept", F.col("accepted"))
 
 
 @query
