@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import ascii_lower, materialize, sampled_texts, sliced
+from larkspur.llm.runtime import ascii_lower, forget, materialize, sampled_texts, sliced
 
 #: Training documents of each language (those with the smallest hash of their id), and how many languages at most.
 SAMPLE_DOCS, MAX_LANGUAGES, SAMPLE_CHARS = 600, 64, 8000
@@ -109,6 +109,7 @@ def text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        forget()
         m = known.value
         for b in sliced(batches):
             mean, best, n = m.mean_likelihoods(b.column(1))

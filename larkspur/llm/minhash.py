@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import connected_components
-from larkspur.llm.runtime import by_filters, drop_path, id_filter, materialize, scratch, sliced
+from larkspur.llm.runtime import by_filters, drop_path, forget, id_filter, materialize, scratch, sliced
 
 HASHES, ROWS, BITS = 150, 5, 4
 BANDS = HASHES // ROWS
@@ -128,6 +128,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
         from larkspur.llm.minhash import BANDS, ROWS, SLICE, minima, pack_bits, shingle_sets
 
+        forget()
         for b in sliced(batches, most=SLICE):
             h, before = shingle_sets(b.column(1), width)
             low = minima(h, before)
@@ -155,6 +156,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
         from larkspur.llm.minhash import SLICE, shingle_sets
 
+        forget()
         for b in sliced(batches, most=SLICE):
             h, before = shingle_sets(b.column(1), width)
             raw = memoryview(h.tobytes())

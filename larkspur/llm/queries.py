@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import chat, decontaminate, embeddings, html_text, language, minhash, packing, store, toxicity, url_filter
-from larkspur.llm.runtime import materialize, scratch
+from larkspur.llm.runtime import materialize, scratch, small_batches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,7 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -46,6 +46,22 @@ def worker_cache() -> dict:
     return mod.__dict__.setdefault("store", {})
 
 
+def forget() -> None:
+    """Free what earlier tasks of other operators left in this Python worker."""
+    worker_cache().clear()
+
+
+#: Bytes of one Arrow batch between the JVM and a Python worker; each is held several times over at both ends.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import sampled_texts, with_columns_by_batch
+from larkspur.llm.runtime import forget, sampled_texts, with_columns_by_batch
 
 #: Labelled documents of label 1 and of label 0 in the training sample (those with the smallest hash of their id); longer
 #: ones than SAMPLE_CHARS are left out of it.
@@ -320,6 +320,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
         from larkspur.llm.toxicity import Model, Vocabulary, windows, words_of
 
+        forget()
         net = Model.__new__(Model)
         net.p = known.value
         words, codes, before = words_of(b.column(place))
