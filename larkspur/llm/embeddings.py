@@ -27,11 +27,10 @@ from larkspur.llm.runtime import materialize
 #: Vectors (those with the smallest hashes of their id) to fit centroids and codes on, about.
 SAMPLE_VECTORS = 20_000
 SUBSPACES, CODES, MOST_LISTS = 8, 256, 16_384
-#: A visit reaches across a border by a share of the greatest distance between linked vectors. One of two linked vectors
-#: lies within half of that distance of the border between their lists, so at 0.5 no link can be missed. The difference
-#: of near copies points in any direction, though, and in many dimensions little of it points across the border: the
-#: default reach is REACH / sqrt(dimensions), about five standard deviations for both sides together, 0.5 at most.
-REACH = 2.4
+#: A visit reaches across a border by this share of the greatest distance between linked vectors. One of two linked
+#: vectors lies within half of that distance of the border between their lists, so at 0.5 no link can be missed, however
+#: the vectors are spread. Less would miss links wherever near copies differ in few directions.
+REACH = 0.5
 BLOCK = 2048
 
 
@@ -144,14 +143,13 @@ def _unit(raw, kind: str) -> np.ndarray:
 UNIT_OUT = "id long, links long, root long"
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.95, reach: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.95, reach: float = REACH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of df."""
     spark = df.sparkSession
     vectors, kind = _vectors(df, id_col, vec_col)
     vectors = materialize(vectors, "vectors")
     dims = vectors.where("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = dims[0]["dim"] if dims else 1
-    reach = min(0.5, REACH / dim**0.5) if reach is None else reach
     good = vectors.where((F.col("dim") == dim) & F.col("vec_id").isNotNull())
     reps = materialize(good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vec").alias("vec")), "distinct")
     n = reps.count()

@@ -49,3 +49,21 @@ def test_empty_and_invalid(spark):
     assert sorted(map(tuple, E.near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=str) == [(1, 0, 1, True), (2, 0, 2, True), (None, 0, None, True)]
     one = [(4, [1.0, 2.0]), (4, [1.0, 2.0])]
     assert sorted(map(tuple, E.near_duplicates(spark.createDataFrame(one, schema)).collect())) == [(4, 1, 4, True)] * 2
+
+
+def brute_links(x, threshold=0.95):
+    u = np.array(x, float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    return (u @ u.T >= threshold).sum(1) - 1
+
+
+def test_default_reach_finds_every_link_of_vectors_that_vary_in_few_directions(spark):
+    rng = np.random.default_rng(8)
+    base, plane = rng.standard_normal(64), rng.standard_normal((2, 64))
+    group = base / np.linalg.norm(base) + rng.uniform(-0.7, 0.7, (900, 2)) @ (plane / np.linalg.norm(plane, axis=1, keepdims=True))
+    steep = rng.standard_normal((1500, 64)) / np.arange(1, 65) ** 2
+    x = np.concatenate([group, steep, rng.standard_normal((600, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(df).collect()}
+    want = brute_links(x)
+    assert want.sum() > 10_000 and [got[i] for i in range(len(x))] == want.tolist()
