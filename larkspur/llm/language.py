@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.runtime import ascii_lower, forget, materialize, sampled_texts, sliced
 
-#: Training documents of each language (those with the smallest hash of their id), and how many languages at most.
-SAMPLE_DOCS, MAX_LANGUAGES, SAMPLE_CHARS = 600, 64, 8000
+#: Training documents of each language (those with the smallest hash of their id); and of how many languages the driver
+#: holds the texts at a time.
+SAMPLE_DOCS, SAMPLE_CHARS = 600, 8000
+LANGUAGES_AT_ONCE = 64
 
 SLOTS = 1 << 16
 #: Rows that a prior of the level above counts as.
@@ -65,45 +67,76 @@ class TextModel:
     def __init__(self, names: list[str], table: np.ndarray):
         self.names, self.table, self.mean, self.spread = names, np.concatenate([table, table.max(0, keepdims=True)]), 0.0, 1.0
 
-    def mean_likelihoods(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mean log-likelihood of a text's trigrams under each language, that under each trigram's best language, and the number of trigrams."""
+    def _means(self, texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h, text, n = trigrams(texts)
-        out = np.zeros((len(n), len(self.table)))
+        out = np.zeros((len(n), len(table)))
         if len(h):
             first = np.flatnonzero(np.diff(text, prepend=-1))
-            for k in range(len(self.table)):
-                out[text[first], k] = np.add.reduceat(self.table[k][h], first, dtype=np.float64)
-        out /= np.maximum(n, 1)[:, None]
+            for k in range(len(table)):
+                out[text[first], k] = np.add.reduceat(table[k][h], first, dtype=np.float64)
+        return out / np.maximum(n, 1)[:, None], n
+
+    def mean_likelihoods(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean log-likelihood of a text's trigrams under each language, that under each trigram's best language, and the number of trigrams."""
+        out, n = self._means(texts, self.table)
         return out[:, :-1], out[:, -1], n
 
+    def best_likelihoods(self, texts) -> np.ndarray:
+        return self._means(texts, self.table[-1:])[0][:, 0]
+
+
+def _sample_ids(known: DataFrame, counts: dict, per_language: int) -> list[tuple]:
+    """(doc_id, lang) of the per_language smallest hashes of each language in counts (lang: rows)."""
+    out, share = [], {x: min(1.0, 1.5 * per_language / c) for x, c in counts.items()}
+    while share:
+        cuts = [(x, min((1 << 63) - 1, int(v * (1 << 64)) - (1 << 63))) for x, v in share.items()]
+        some = known.join(F.broadcast(known.sparkSession.createDataFrame(cuts, "lang string, cut long")), "lang")
+        found = {x: set() for x in share}
+        for r in some.withColumn("h", F.xxhash64("doc_id")).where("h <= cut").select("lang", "h", "doc_id").distinct().toLocalIterator():
+            found[r["lang"]].add((r["h"], r["doc_id"]))
+        for x, ids in found.items():
+            if len(ids) >= per_language or share[x] == 1.0:
+                out += [(i, x) for _, i in sorted(ids)[:per_language]]
+                del share[x]
+            else:  # repeated ids, or chance
+                share[x] = min(1.0, 4 * share[x])
+    return out
+
 
 def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> TextModel:
     """Trigram models from a bounded sample of labelled documents."""
     import pyarrow as pa
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and doc_id is not null")
-    names = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    found = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    names = sorted(found)
     if not names:
         raise NoLabels("training needs labelled documents")
-    some = [known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language) for name in names]
-    ids = some[0]
-    for x in some[1:]:
-        ids = ids.union(x)
-    rows = sampled_texts(docs, ids.distinct(), "lang", max_chars)
-    counts, samples = np.zeros((len(names), SLOTS)), []
-    for k, name in enumerate(names):
-        samples.append(pa.array([r["text"] for r in rows if r["lang"] == name], pa.string()))
-        counts[k] = np.bincount(trigrams(samples[-1])[0], minlength=SLOTS)
-    table = np.log((counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * SLOTS)).astype(np.float32)
+
+    def texts(block):
+        ids = _sample_ids(known, {x: found[x] for x in block}, per_language)
+        rows = sampled_texts(docs, docs.sparkSession.createDataFrame(ids, "doc_id long, lang string"), "lang", max_chars)
+        of = {x: [] for x in block}
+        for r in rows:
+            of[r["lang"]].append(r["text"])
+        return [pa.array(of[x], pa.string()) for x in block]
+
+    blocks = [names[i : i + LANGUAGES_AT_ONCE] for i in range(0, len(names), LANGUAGES_AT_ONCE)]
+    table = np.zeros((len(names), SLOTS), np.float32)
+    for i, block in enumerate(blocks):
+        samples = texts(block)
+        for k, x in enumerate(samples, i * LANGUAGES_AT_ONCE):
+            counts = np.bincount(trigrams(x)[0], minlength=SLOTS)
+            table[k] = np.log((counts + 0.05) / (counts.sum() + 0.05 * SLOTS))
     model = TextModel(names, table)
-    best = np.concatenate([model.mean_likelihoods(x)[1] for x in samples])
+    best = np.concatenate([model.best_likelihoods(x) for block in blocks for x in (samples if len(blocks) == 1 else texts(block))])
     low, model.mean = np.percentile(best, [25, 50]) if len(best) else (0.0, 0.0)
     model.spread = max(0.05, (model.mean - low) / 0.6745)
     return model
 
 
 def text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
-    """rows (doc_id, text, declared, url, host) with the text replaced by logs array<double> (tempered log-likelihoods), n_trigrams and fits."""
+    """rows (doc_id, text, declared, url, host) with the text replaced by logs and post array<double> (tempered log-likelihoods, and posteriors by the text alone), n_trigrams and fits."""
     known = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -117,16 +150,28 @@ def text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
             total -= total.max(1, keepdims=True)
             # short texts vary more
             fits = (n > 0) & (best >= m.mean - MAX_DEVIATIONS * np.sqrt(m.spread**2 + 4.0 / np.maximum(n, 1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(list(total), pa.list_(pa.float64())), pa.array(n), pa.array(fits)], names=["doc_id", "declared", "host", "logs", "n_trigrams", "fits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], _lists(total), _lists(_normal(total)), pa.array(n), pa.array(fits)], names=["doc_id", "declared", "host", "logs", "post", "n_trigrams", "fits"])
 
     cols = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("declared").cast("string"), F.col("host").cast("string"))
-    return cols.mapInArrow(run, "doc_id long, declared string, host string, logs array<double>, n_trigrams long, fits boolean")
+    return cols.mapInArrow(run, "doc_id long, declared string, host string, logs array<double>, post array<double>, n_trigrams long, fits boolean")
 
 
-def _normal(logs: Column) -> Column:
-    top = F.array_max(logs)
-    e = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+def _normal(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _lists(x: np.ndarray):
+    import pyarrow as pa
+
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def _matrix(column, n: int) -> np.ndarray:
+    """A column of lists as rows of n numbers, zeros for null."""
+    out = np.zeros((len(column), n))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out
 
 
 def _sums(col: str, n: int) -> list[Column]:
@@ -145,7 +190,7 @@ def identify(rows: DataFrame, model: TextModel, prior_rows: float = PRIOR_ROWS)
     """
     names, n = model.names, len(model.names)
     base = materialize(text_scores(rows, model), "language")
-    base = base.withColumn("post", _normal(F.col("logs"))).withColumn("counts", F.col("n_trigrams") > 0)
+    base = base.withColumn("counts", F.col("n_trigrams") > 0)
     base = base.withColumn("host", F.when(F.trim("host") != "", ascii_lower(F.col("host"))))
     base = base.withColumn("said", F.regexp_extract(ascii_lower(F.coalesce("declared", F.lit(""))), r"^\s*([a-z]+)", 1))
     seen = base.where("counts and host is not null").groupBy("host").agg(F.count("*").alias("n"), *_sums("post", n))
@@ -164,14 +209,32 @@ def identify(rows: DataFrame, model: TextModel, prior_rows: float = PRIOR_ROWS)
     of = {r["said"]: [r[f"s{k}"] for k in range(n)] for r in said.collect()}
     trust = np.array([of.get(d, [0.0] * n) for d in names]) + 0.5 + 4.5 * np.eye(n)
     trust = np.log(trust / trust.sum(0))  # [declared][true]
-    declared = F.when(F.lit(False), F.array(*[F.lit(0.0)] * n))
-    for d, name in enumerate(names):
-        declared = declared.when(F.col("said") == name, F.array(*[F.lit(float(x)) for x in trust[d]]))
-    joined = base.join(hosts, "host", "left").crossJoin(F.broadcast(top))
-    own = F.when(F.col("counts"), 1.0).otherwise(0.0)
-    prior = [F.when(F.col("hn").isNull(), F.col("tm")[k]).otherwise((F.col("hs")[k] - own * F.col("post")[k] + prior_rows * F.col("dm")[k]) / (F.col("hn") - own + prior_rows)) for k in range(n)]
-    logs = [F.col("logs")[k] + F.log(F.greatest(prior[k], F.lit(1e-9))) + F.coalesce(F.col("dec")[k], F.lit(0.0)) for k in range(n)]
-    out = joined.withColumn("dec", declared).withColumn("final", _normal(F.array(*logs)))
-    pick = lambda c: F.get(F.array(*[F.lit(x) for x in names]), F.array_position(F.col(c), F.array_max(c)).cast("int") - 1)
-    ok = F.col("counts") & (F.array_max("final") >= MIN_POSTERIOR) & F.col("fits")
-    return out.select("doc_id", F.when(F.col("counts"), pick("final")).otherwise("und").alias("lang"), F.array_max("final").alias("confidence"), ok.alias("accepted"), F.when(F.col("counts"), pick("post")).alias("text_lang"))
+    spot = {d: k for k, d in enumerate(names)}
+    overall = np.array(top.first()["tm"])
+    label = np.array(names, dtype=object)
+
+    def decide(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = dict(zip(b.schema.names, b.columns))
+            counts = c["counts"].to_numpy(zero_copy_only=False)
+            logs, post = _matrix(c["logs"], n), _matrix(c["post"], n)
+            own = counts.astype(float)[:, None]
+            rows = c["hn"].fill_null(0).to_numpy(zero_copy_only=False).astype(float)[:, None]
+            prior = (_matrix(c["hs"], n) - own * post + prior_rows * _matrix(c["dm"], n)) / np.maximum(rows - own + prior_rows, 1e-9)
+            prior = np.where(c["hn"].is_valid().to_numpy(zero_copy_only=False)[:, None], prior, overall)
+            logs += np.log(np.maximum(prior, 1e-9))
+            said = np.array([spot.get(d, -1) for d in c["said"].to_pylist()], np.int64)
+            logs[said >= 0] += trust[said[said >= 0]]
+            final = _normal(logs)
+            top_p = final.max(1)
+            ok = counts & (top_p >= MIN_POSTERIOR) & c["fits"].to_numpy(zero_copy_only=False)
+            lang = np.where(counts, label[final.argmax(1)], "und")
+            alone = np.where(counts, label[post.argmax(1)], None)
+            yield pa.RecordBatch.from_arrays([c["doc_id"], pa.array(lang, pa.string()), pa.array(top_p), pa.array(ok), pa.array(alone, pa.string())], names=["doc_id", "lang", "confidence", "accepted", "text_lang"])
+
+    joined = base.join(hosts, "host", "left").select("doc_id", "logs", "post", "counts", "fits", "said", "hn", "hs", "dm")
+    return joined.mapInArrow(decide, "doc_id long, lang string, confidence double, accepted boolean, text_lang string")

@@ -47,3 +47,15 @@ def test_prior_decides_where_the_text_does_not(spark):
     df = spark.createDataFrame(rows + unclear, SCHEMA)
     got = {r["doc_id"]: r for r in L.identify(df, L.fit(df)).where(F.col("doc_id") >= 500).collect()}
     assert (got[500]["lang"], got[501]["lang"], got[502]["lang"]) == ("fr", "en", "en")
+
+
+def test_every_labelled_language_has_a_model(spark):
+    rng = random.Random(6)
+    words = {f"l{chr(97 + k // 10)}{chr(97 + k % 10)}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(rng.choices(words[x], k=40)), x, None, None) for i, x in enumerate([x for x in words for _ in range(3)])]
+    rows.append((10_000, rows[-1][1], None, rows[-1][2], None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = L.fit(df)
+    assert model.names == sorted(words)
+    got = {r["doc_id"]: (r["lang"], r["accepted"]) for r in L.identify(df, model).collect()}
+    assert all(got[r[0]] == (r[2] or rows[-2][2], True) for r in rows)
