@@ -7,7 +7,7 @@ never counts in its own prior. How far a declared language can be trusted is lea
 
 Cases: null, empty and letterless texts carry no evidence and are rejected with language "und". Null declared languages,
 urls and hosts add nothing. Texts of any length are read whole. Repeated rows are each judged. An empty table gives no
-rows; fit() without labelled rows raises NoLabels. Extra columns are ignored.
+rows; fit() without labelled rows that have a text raises NoLabels. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_DOCS
     """Trigram models from a bounded sample of labelled documents."""
     import pyarrow as pa
 
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and doc_id is not null")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.length(F.col("text").cast("string")).alias("size")).where("lang is not null and doc_id is not null and size > 0").drop("size")
     found = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     names = sorted(found)
     if not names:

@@ -91,13 +91,20 @@ def _byte_lengths(arr):
     return pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False)
 
 
+#: Pieces that stand for a text over the bound of a sample, evenly spread from its start to its end.
+PIECES = 4
+
+
 def sampled_texts(docs: DataFrame, ids: DataFrame, key: str, max_chars: int) -> list:
-    """Rows (key, text) of the documents in ids (doc_id, key), without texts over max_chars or empty ones, in order of a hash of the id.
+    """Rows (key, text) of the documents in ids (doc_id, key), without empty texts, in order of a hash of the id. Of a text over max_chars there are PIECES pieces of as many characters together at most.
 
     ids is a sample of stated size; only it is broadcast, and only its texts travel.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = own.join(F.broadcast(ids), "doc_id").where(F.length("text").between(1, max_chars)).select(F.xxhash64("doc_id").alias("h"), "doc_id", key, "text").collect()
+    size, piece = F.length("text"), max(1, max_chars // PIECES - 1)
+    cut = F.concat_ws("\n", *[F.substr("text", (F.lit(1) + F.floor((size - piece) * (k / (PIECES - 1)))).cast("int"), F.lit(piece)) for k in range(PIECES)])
+    text = F.when(size <= max_chars, F.col("text")).otherwise(cut).alias("text")
+    rows = own.join(F.broadcast(ids), "doc_id").where(size >= 1).select(F.xxhash64("doc_id").alias("h"), "doc_id", key, text).collect()
     return sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["text"]))
 
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import forget, sampled_texts, with_columns_by_batch
+from larkspur.llm.runtime import forget, materialize, sampled_texts, with_columns_by_batch
 
 #: Labelled documents of label 1 and of label 0 in the training sample (those with the smallest hash of their id); longer
 #: ones than SAMPLE_CHARS are left out of it.
@@ -297,12 +297,13 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = SAMPLE_TOXIC, clean_docs: int = SAMPLE_CLEAN, max_chars: int = SAMPLE_CHARS) -> Model:
-    """Train on a bounded sample of labelled rows outside the held-out fifth. A document labelled twice counts as toxic if one label says so."""
+    """Train on a bounded sample of labelled documents with a text, outside the held-out fifth; those over max_chars only fill up the sample. A document labelled twice counts as toxic if one label says so."""
     import pyarrow as pa
 
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = marks.where(~held_out(F.col("doc_id")))
-    some = lambda y, most: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    size = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.col("text").cast("string")).alias("size")).where("size > 0").groupBy("doc_id").agg(F.min("size").alias("size"))
+    known = materialize(marks.where(~held_out(F.col("doc_id"))).join(size, "doc_id").select("doc_id", "toxic", (F.col("size") > max_chars).alias("long")), "labelled")
+    some = lambda y, most: known.where(F.col("toxic") == y).orderBy("long", F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic")
     rows = sampled_texts(docs, some(0, clean_docs).union(some(1, toxic_docs)), "toxic", max_chars)
     toxic = np.array([r["toxic"] for r in rows], float)
     if not 0 < toxic.sum() < len(toxic):

@@ -59,3 +59,13 @@ def test_every_labelled_language_has_a_model(spark):
     assert model.names == sorted(words)
     got = {r["doc_id"]: (r["lang"], r["accepted"]) for r in L.identify(df, model).collect()}
     assert all(got[r[0]] == (r[2] or rows[-2][2], True) for r in rows)
+
+
+def test_a_language_of_long_texts_only_has_a_model(spark):
+    rng = random.Random(7)
+    rows = [(i, text(rng, x, 400 if x == "fr" else 20), x, None, None) for i, x in enumerate(["en", "fr", "de"] * 20)]
+    df = spark.createDataFrame([*rows, (900, "", "xx", None, None)], SCHEMA)
+    model = L.fit(df, max_chars=400)
+    assert model.names == ["de", "en", "fr"]
+    got = {r["doc_id"]: (r["lang"], r["accepted"]) for r in L.identify(df, model).collect()}
+    assert all(got[r[0]] == (r[2], True) for r in rows)

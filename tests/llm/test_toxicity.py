@@ -65,3 +65,13 @@ def test_fit_and_score(spark):
     assert T.score(docs.limit(0), model).count() == 0
     with pytest.raises(ValueError, match="both kinds"):
         T.fit(docs, labels.where("toxic = 0"))
+
+
+def test_a_class_of_long_texts_only_is_learned(spark):
+    rows = [(i, " ".join(t.split() * 200)[:4000] if y else t[:300], y) for i, t, y in corpus(300, 4)]
+    rows = [(i, t.replace(" ", " scumbag ") if y else t, y) for i, t, y in rows]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(k, None) for k in range(1000, 1400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(k, 0) for k in range(1000, 1400)], "doc_id long, toxic int")
+    model = T.fit(docs, labels, toxic_docs=60, clean_docs=100, max_chars=400)
+    got = {r["doc_id"]: r["predicted"] for r in T.score(docs, model).collect()}
+    assert np.mean([got[i] == y for i, _, y in rows]) > 0.95
