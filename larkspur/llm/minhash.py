@@ -348,9 +348,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     # equal sets are one class, known by its smallest id
     classes = materialize(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "signature", "n_shingles")
-    members = materialize(filled.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "members")
-    # an id whose rows differ in text ties their classes together
-    edges = members.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    placed = materialize(filled.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"), "placed")
+    members = materialize(placed.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "members")
+    # an id whose rows differ in text ties all their classes together
+    several = members.where("rep <> other").select("doc_id", F.col("rep").alias("a"))
+    edges = materialize(placed.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "ties")
     bands = classes.select(F.explode("bands").alias("band"), F.col("rep").alias("id")).distinct()
     # only groups with company matter
     crowded = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")

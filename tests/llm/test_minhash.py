@@ -87,3 +87,10 @@ def test_components(spark):
     got = {r[0]: r[1] for r in connected_components(spark.createDataFrame([*edges, (7, None)], "a long, b long")).collect()}
     want = components({x for e in edges for x in e}, edges)
     assert got == {n: c for n, c in want.items() if n in {x for a, b in edges if a != b for x in (a, b)}}
+
+
+def test_an_id_with_three_texts_ties_all_its_classes(spark):
+    texts = ["a b c d e f", "g h i j k l", "m n o p q r"]
+    rows = [*enumerate(texts, 1), *[(5, t) for t in texts]]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (2, 1, False), (3, 1, False)] + [(5, 1, False)] * 3
