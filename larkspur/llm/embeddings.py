@@ -9,8 +9,8 @@ Equal vectors are one row with a weight, however many there are. A list is worke
 counts for both sides although perhaps only one visits the other: the visitor always counts it, the other side where
 it would not have visited. Blocks give back sums and spanning edges, never all pairs.
 
-Cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors of another length than
-most, link with nothing. Repeated rows count as other vectors. Rows of one vec_id with different vectors share a
+Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors of
+each length are indexed apart and link among themselves. Repeated rows count as other vectors. Rows of one vec_id with different vectors share a
 component. A null vec_id has component null and is kept. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -143,19 +143,9 @@ def _unit(raw, kind: str) -> np.ndarray:
 UNIT_OUT = "id long, links long, root long"
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.95, reach: float = REACH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per row of df."""
-    spark = df.sparkSession
-    vectors, kind = _vectors(df, id_col, vec_col)
-    vectors = materialize(vectors, "vectors")
-    dims = vectors.where("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = dims[0]["dim"] if dims else 1
-    good = vectors.where((F.col("dim") == dim) & F.col("vec_id").isNotNull())
-    reps = materialize(good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vec").alias("vec")), "distinct")
-    n = reps.count()
-    if n == 0:
-        none = F.lit(0).cast("long")
-        return vectors.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+def _parts(reps: DataFrame, n: int, kind: str, threshold: float, reach: float) -> DataFrame:
+    """id, links and root of the linked among n distinct vectors (key, id, weight, vec) of one length, a row for each block."""
+    spark = reps.sparkSession
     share = min(1.0, SAMPLE_VECTORS / n)
     sample = reps.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("key", "vec").limit(2 * SAMPLE_VECTORS).toArrow()
     raw = sample.column("vec").to_pylist()
@@ -242,11 +232,25 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, reach: float = REACH
         sv, sm = np.unique(i), np.unique(j)
         return pd.DataFrame({"id": np.concatenate([vid[sv], mid[sm]]), "links": np.concatenate([links_v[sv], links_m[sm]]), "root": np.concatenate([lv[sv], lm[sm]])})
 
-    parts = materialize(here.unionByName(come).groupBy("cell", "mb", "vb").applyInPandas(work, UNIT_OUT), "parts")
-    sums = parts.groupBy("id").agg(F.sum("links").alias("links"))
+    return materialize(here.unionByName(come).groupBy("cell", "mb", "vb").applyInPandas(work, UNIT_OUT), "parts")
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.95, reach: float = REACH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row per row of df."""
+    spark = df.sparkSession
+    vectors, kind = _vectors(df, id_col, vec_col)
+    vectors = materialize(vectors, "vectors")
+    good = vectors.where("dim is not null and vec_id is not null")
+    reps = materialize(good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vec").alias("vec"), F.first("dim").alias("dim")), "distinct")
+    sizes = sorted((r["dim"], r["count"]) for r in reps.groupBy("dim").count().collect())
+    parts = spark.createDataFrame([], UNIT_OUT + ", dim int")
+    for dim, n in sizes:
+        if n > 1:
+            parts = parts.union(_parts(reps.where(F.col("dim") == dim).drop("dim"), n, kind, threshold, reach).withColumn("dim", F.lit(dim)))
+    sums = parts.groupBy("id", "dim").agg(F.sum("links").alias("links"))
     comp = connected_components(parts.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    classes = reps.select("key", "id", "weight").join(sums, "id", "left").join(comp, reps["id"] == comp["node"], "left")
+    classes = reps.select("key", "id", "dim", "weight").join(sums, ["id", "dim"], "left").join(comp, reps["id"] == comp["node"], "left")
     classes = classes.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    out = vectors.withColumn("key", F.when((F.col("dim") == dim) & F.col("vec_id").isNotNull(), F.col("key"))).select("vec_id", "key").join(classes, "key", "left")
+    out = vectors.withColumn("key", F.when(F.col("vec_id").isNotNull(), F.col("key"))).select("vec_id", "key").join(classes, "key", "left")
     own = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))

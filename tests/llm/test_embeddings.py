@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from larkspur.llm import embeddings as E
 
@@ -67,3 +68,18 @@ def test_default_reach_finds_every_link_of_vectors_that_vary_in_few_directions(s
     got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(df).collect()}
     want = brute_links(x)
     assert want.sum() > 10_000 and [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(9)
+    rows = {}
+    for k, dim in enumerate((8, 12)):
+        base = rng.standard_normal((6, dim))
+        x = np.repeat(base, 3 + k, 0) + 0.05 * rng.standard_normal((6 * (3 + k), dim))
+        rows |= {100 * k + i: (v.tolist(), w) for i, (v, w) in enumerate(zip(x, brute_links(x).tolist()))}
+    df = spark.createDataFrame([(i, v) for i, (v, _) in rows.items()], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(df).collect()}
+    assert got == {i: w for i, (_, w) in rows.items()}
+    shared = df.withColumn("vec_id", F.col("vec_id") % 100).where("vec_id = 0 or size(embedding) = 12")
+    assert sorted(r["n_links"] for r in E.near_duplicates(shared).where("vec_id = 0").collect()) == [0, rows[100][1]]
+    assert all(sum(w for i, (_, w) in rows.items() if i // 100 == k) for k in (0, 1))
