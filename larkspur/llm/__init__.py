@@ -1,8 +1 @@
 """Operators for preparing training text. Nothing else in the library imports this subpackage."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions that run on executors travel with their task, so executors need no installed copy.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import ascii_lower, forget, materialize, sampled_texts, sliced
+from larkspur.llm.runtime import ascii_lower, forget, map_batches, materialize, sampled_texts, sliced
 
 #: Training documents of each language (those with the smallest hash of their id); and of how many languages the driver
 #: holds the texts at a time.
@@ -153,7 +153,7 @@ def text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], _lists(total), _lists(_normal(total)), pa.array(n), pa.array(fits)], names=["doc_id", "declared", "host", "logs", "post", "n_trigrams", "fits"])
 
     cols = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("declared").cast("string"), F.col("host").cast("string"))
-    return cols.mapInArrow(run, "doc_id long, declared string, host string, logs array<double>, post array<double>, n_trigrams long, fits boolean")
+    return map_batches(cols, run, "doc_id long, declared string, host string, logs array<double>, post array<double>, n_trigrams long, fits boolean")
 
 
 def _normal(logs: np.ndarray) -> np.ndarray:
@@ -237,4 +237,4 @@ def identify(rows: DataFrame, model: TextModel, prior_rows: float = PRIOR_ROWS)
             yield pa.RecordBatch.from_arrays([c["doc_id"], pa.array(lang, pa.string()), pa.array(top_p), pa.array(ok), pa.array(alone, pa.string())], names=["doc_id", "lang", "confidence", "accepted", "text_lang"])
 
     joined = base.join(hosts, "host", "left").select("doc_id", "logs", "post", "counts", "fits", "said", "hn", "hs", "dm")
-    return joined.mapInArrow(decide, "doc_id long, lang string, confidence double, accepted boolean, text_lang string")
+    return map_batches(joined, decide, "doc_id long, lang string, confidence double, accepted boolean, text_lang string")

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import connected_components
-from larkspur.llm.runtime import by_filters, drop_path, forget, id_filter, materialize, scratch, sliced
+from larkspur.llm.runtime import by_filters, drop_path, forget, id_filter, map_batches, materialize, scratch, sliced
 
 HASHES, ROWS, BITS = 150, 5, 4
 BANDS = HASHES // ROWS
 #: Groups of up to SMALL rows are paired by a join (at most SMALL / 2 pairs a row), larger ones in blocks of BLOCK rows.
 SMALL, BLOCK = 32, 1024
 #: Bytes of text whose shingles a worker holds at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Standard deviations that an estimate may lie below the threshold.
 MARGIN = 4.5
 
@@ -145,11 +145,14 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "bands", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SKETCH)
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, hashes (the whole set, 8 bytes each, sorted)."""
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, hashes (the whole set, 8 bytes each, sorted) of the documents in ids, and of a few others by chance.
+
+    A filter of bounded size lets the documents in question through; the texts of the rest never move.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -164,7 +167,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 part = list(zip(before[i : i + 500].tolist(), before[i + 1 : i + 501].tolist()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), pa.array([bytes(raw[8 * x : 8 * y]) for x, y in part], pa.binary())], names=["doc_id", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes binary")
+    return by_filters(docs, [id_filter(ids)], lambda held: held, run, "doc_id long, hashes binary")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -175,8 +178,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     path = scratch(docs.sparkSession, "sets")
-    # a filter of bounded size lets the documents in question through; the texts of the rest never move
-    sets = materialize(full_sets(by_filters(docs, [id_filter(ids)], lambda held: held), width), "sets", path)
+    sets = materialize(full_sets(docs, ids, width), "sets", path)
 
     def run(batches):
         import pyarrow as pa
@@ -197,7 +199,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
     met = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
     met = met.join(sets.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
-    found = materialize(met.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long").distinct(), "links")
+    found = materialize(map_batches(met.select("a", "b", "ha", "hb"), run, "a long, b long").distinct(), "links")
     drop_path(docs.sparkSession, path)
     return found
 
@@ -221,7 +223,7 @@ def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("signature").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, similar double")
+    return map_batches(met.select("a", "b", "sa", "sb"), run, "a long, b long, similar double")
 
 
 def _near(u, v, bu, bv, cu, cv, nu, nv, iu, iv, band: int, same: bool, percent: int, least: float):
@@ -301,7 +303,7 @@ def _dense_links(found: DataFrame, units: DataFrame, docs: DataFrame, width: int
     """Exact links in the units with too many pairs: their rows come with their full sets; out come spanning links only."""
     least = least_estimate(percent / 100)
     rows = found.where("dense").select("band", "lo", "hi", F.col("a").alias("id"))
-    sets = materialize(full_sets(by_filters(docs, [id_filter(rows.select("id").distinct())], lambda held: held), width), "sets")
+    sets = materialize(full_sets(docs, rows.select("id").distinct(), width), "sets")
     joined = units.join(rows, ["band", "lo", "hi", "id"]).join(sets.withColumnRenamed("doc_id", "id"), "id")
 
     def run(key, rows):

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import sliced
+from larkspur.llm.runtime import map_batches, sliced
 from larkspur.llm.tokens import tokenizer_json
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
@@ -57,7 +57,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, seq_len: int = 2
                     [pa.array(np.repeat(np.arange(len(n)), count)[s]), pa.array((ends - flat - np.repeat(doc_start, count))[s]), pa.array(flat[s]), payload.slice(i, 20_000).cast(pa.binary()), pa.array(np.repeat(n, count)[s])], names=["doc_id", "start", "length", "ids", "doc_tokens"]
                 ).set_column(0, "doc_id", b.column(0).take(pa.array(np.repeat(np.arange(len(n)), count)[s])))
 
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    pieces = map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, PIECES)
     return pieces.select("*", F.log2("length").cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import io
 import sys
 import tempfile
 import types
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in a local session without that setting."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,8 +56,53 @@ def forget() -> None:
     worker_cache().clear()
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks and would keep its peak."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that they need no installed copy."""
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if sc.applicationId in _shipped or not package.is_dir():
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    where = sc._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'code')}/{package.name}.zip")
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where)
+    out.write(data.getvalue())
+    out.close()
+    sc.addPyFile(where.toString())
+    _shipped.add(sc.applicationId)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), after which the worker's memory is given back."""
+    ship(df.sparkSession)
+
+    def released(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(released, schema)
+
+
 #: Bytes of one Arrow batch between the JVM and a Python worker; each is held several times over at both ends.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -67,7 +117,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def sliced(batches, column: str = "text", most: int = 6 << 20):
+#: Bytes of text that a worker takes up at once.
+SLICE_BYTES = 2 << 20
+
+
+def sliced(batches, column: str = "text", most: int = SLICE_BYTES):
     """Record batches cut so that `column` holds about `most` bytes at most, or one row."""
     import numpy as np
 
@@ -98,17 +152,20 @@ PIECES = 4
 def sampled_texts(docs: DataFrame, ids: DataFrame, key: str, max_chars: int) -> list:
     """Rows (key, text) of the documents in ids (doc_id, key), without empty texts, in order of a hash of the id. Of a text over max_chars there are PIECES pieces of as many characters together at most.
 
-    ids is a sample of stated size; only it is broadcast, and only its texts travel.
+    ids is a sample of stated size; only it is broadcast, and only its texts travel. Where rows of one id differ, the
+    text with the smallest hash stands for it, picked by an aggregate that starts on the map side: no more rows reach
+    the driver than ids has, however often an id is repeated.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size, piece = F.length("text"), max(1, max_chars // PIECES - 1)
     cut = F.concat_ws("\n", *[F.substr("text", (F.lit(1) + F.floor((size - piece) * (k / (PIECES - 1)))).cast("int"), F.lit(piece)) for k in range(PIECES)])
     text = F.when(size <= max_chars, F.col("text")).otherwise(cut).alias("text")
-    rows = own.join(F.broadcast(ids), "doc_id").where(size >= 1).select(F.xxhash64("doc_id").alias("h"), "doc_id", key, text).collect()
-    return sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["text"]))
+    found = own.join(F.broadcast(ids), "doc_id").where(size >= 1).select("doc_id", key, F.xxhash64("text").alias("t"), text)
+    rows = found.groupBy("doc_id", key).agg(F.min(F.struct("t", "text")).alias("one")).select(F.xxhash64("doc_id").alias("h"), "doc_id", key, F.col("one.text").alias("text")).collect()
+    return sorted(rows, key=lambda r: (r["h"], r["doc_id"], r[key]))
 
 
-def with_columns_by_batch(df: DataFrame, f, fields: str, column: str = "text", most: int = 6 << 20) -> DataFrame:
+def with_columns_by_batch(df: DataFrame, f, fields: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """df with more columns that f computes from slices of record batches (f(batch) -> list of Arrow arrays); all other columns pass through."""
     from pyspark.sql import types as T
 
@@ -122,7 +179,7 @@ def with_columns_by_batch(df: DataFrame, f, fields: str, column: str = "text", m
         for b in sliced(batches, column, most):
             yield pa.RecordBatch.from_arrays([*b.columns, *f(b)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 #: Bits of an id filter: this many for each id, and at most 32 MB in all. A full filter only lets more through.
@@ -145,8 +202,12 @@ def id_filter(ids: DataFrame):
     return words
 
 
-def by_filters(docs: DataFrame, tests: list[tuple], keep) -> DataFrame:
-    """Rows of docs for which keep(one boolean array for each filter) holds. tests: filters as from id_filter; a null id is in none."""
+def by_filters(docs: DataFrame, tests: list, keep, then=None, schema=None) -> DataFrame:
+    """Rows of docs for which keep(one boolean array for each filter) holds. tests: filters as from id_filter; a null id is in none.
+
+    then(batches), with its schema, goes on with what is kept in the same Python worker; a second map would double
+    the workers that are alive.
+    """
     import numpy as np
 
     names = docs.columns
@@ -154,7 +215,7 @@ def by_filters(docs: DataFrame, tests: list[tuple], keep) -> DataFrame:
     known = [docs.sparkSession.sparkContext.broadcast(w) for w in tests]
     n = len(names)
 
-    def run(batches):
+    def passed(batches):
         import pyarrow as pa
 
         for b in batches:
@@ -168,7 +229,8 @@ def by_filters(docs: DataFrame, tests: list[tuple], keep) -> DataFrame:
                 inside.append(ok)
             yield pa.RecordBatch.from_arrays(b.columns[:n], names=names).filter(pa.array(keep(*inside)))
 
-    return docs.select(*[docs[c] for c in names], F.col("doc_id").alias("__id"), *spots).mapInArrow(run, docs.schema)
+    run = passed if then is None else lambda batches: then(passed(batches))
+    return map_batches(docs.select(*[docs[c] for c in names], F.col("doc_id").alias("__id"), *spots), run, schema or docs.schema)
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:

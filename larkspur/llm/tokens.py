@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 
 #: Distinct pieces of one generation; a Python worker remembers the current and the last one.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
