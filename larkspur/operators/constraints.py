@@ -46,9 +46,9 @@ def check_unique(new: DataFrame, others: DataFrame, meta: TableMeta, keys: list[
 
 
 def check_foreign(new: DataFrame, meta: TableMeta, read) -> None:
-    """Each foreign key of `new` has its parent; any null part skips the check. read(table id) gives the table's rows."""
+    """Each foreign key of `new` has its parent; any null part skips the check. read(foreign key) gives the rows of the table that it points to."""
     for fk in (c for c in meta.constraints if c.kind == "foreign"):
-        parent = read(fk.target)
+        parent = read(fk)
         own = _filled(new, fk.columns).select(*[F.col(f"`{a}`").alias(f"k{i}") for i, a in enumerate(fk.columns)]).distinct()
         keys = parent.select(*[F.col(f"`{b}`").alias(f"k{i}") for i, b in enumerate(fk.to)])
         if not own.join(keys, own.columns, "left_anti").isEmpty():

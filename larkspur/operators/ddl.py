@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from larkspur.errors import SqlError
 from larkspur.operators import constraints as K
-from larkspur.sources.storage import ROW_ID, Column, Constraint, TableMeta, Version, spark_type
+from larkspur.sources.storage import Column, Constraint, TableMeta, Version, spark_type
 
 
 def _split(session, name: list[str]) -> tuple[str, str]:
@@ -67,6 +65,8 @@ def _table(session, a):
     found = session.find(a["table"])
     if found is None and not a.get("quiet_table"):
         raise SqlError("42P01", f"relation {'.'.join(a['table'])!r} does not exist")
+    if found is not None:
+        session.alone(found)
     return found
 
 
@@ -83,11 +83,9 @@ def add_column(session, a) -> None:
     rows = session.read(meta)
     if not col.nullable and col.default is None and not rows.isEmpty():
         raise SqlError("23502", f"column {col.name!r} contains null values")
-    value = F.expr(session.default_sql(col)) if col.default is not None else F.lit(None).cast(spark_type(col.type))
-    meta.columns.append(col)
-    if not rows.isEmpty():
-        names = [c.name for c in meta.columns]
-        session.replace(meta.id, rows.withColumn(col.name, value).select(*[F.col(f"`{n}`") for n in names], ROW_ID))
+    if col.default is not None:
+        col.fill = session.default_sql(col)  # what older parts are read with
+    meta.add(col)
     for d in a["constraints"]:
         _validated(session, meta, d)
 
@@ -101,7 +99,7 @@ def _validated(session, meta, d) -> None:
         if c.kind in ("primary", "unique"):
             K.check_unique(rows, rows.limit(0), meta, [c])
         if c.kind == "foreign":
-            K.check_foreign(rows, TableMeta(meta.id, meta.schema, meta.name, meta.columns, [c]), session.read_id)
+            K.check_foreign(rows, TableMeta(meta.id, meta.schema, meta.name, meta.columns, [c]), lambda fk: session.read_id(fk.target))
     except SqlError:
         meta.constraints.remove(c)
         raise
@@ -141,12 +139,9 @@ def drop_column(session, a) -> None:
     used = any(name in c.columns for c in meta.constraints if c.kind in ("primary", "foreign")) or any(name in fk.to for _, fk in K.inbound(session.db, meta.id))
     if used:
         raise SqlError("2BP01", f"other objects depend on column {name!r}")
-    rows = session.read(meta).drop(name)
     meta.columns = [c for c in meta.columns if c.name != name]
     meta.constraints = [c for c in meta.constraints if name not in c.columns]
     meta.indexes = [i for i in meta.indexes if name not in i.columns]
-    if not rows.isEmpty():
-        session.replace(meta.id, rows)
 
 
 def rename_table(session, a) -> None:
@@ -179,11 +174,13 @@ def drop_table(session, a) -> None:
             metas.append(meta)
     ids = {m.id for m in metas}
     for meta in metas:
+        session.alone(meta)
         if any(t.id not in ids for t, _ in K.inbound(session.db, meta.id)):
             raise SqlError("2BP01", f"cannot drop table {meta.name!r} because other objects depend on it")
     for i in ids:
         del session.db.tables[i], session.db.versions[i]
         session.db.counters.pop(i, None)
+        session.pending.pop(i, None)
 
 
 def create_schema(session, a) -> None:
@@ -241,4 +238,5 @@ def truncate(session, a) -> None:
     meta = _table(session, a)
     if any(t.id != meta.id for t, _ in K.inbound(session.db, meta.id)):
         raise SqlError("0A000", "cannot truncate a table referenced in a foreign key constraint")
-    session.replace(meta.id, None)
+    session.db.versions[meta.id] = Version()
+    session.pending.pop(meta.id, None)

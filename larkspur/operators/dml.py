@@ -16,55 +16,80 @@ from larkspur.plans.emit import quote
 from larkspur.sources.storage import ROW_ID, TableMeta, Version, spark_type
 
 
-class Change:
-    """Files of one statement's change to one table."""
-
-    def __init__(self, meta: TableMeta, added: DataFrame | None, removed: DataFrame | None):
-        self.meta, self.added, self.removed = meta, added, removed
-
-
 def _c(name: str):
     return F.col(f"`{name}`")
 
 
-def _store(session, meta: TableMeta, added: DataFrame | None, removed: DataFrame | None) -> DataFrame | None:
-    """Write the change and note it in the session; gives back the added rows as stored."""
+def _store(session, meta: TableMeta, added: DataFrame | None, gone: str | None) -> DataFrame | None:
+    """Write the added rows and note the change in the session; gives back the added rows as stored. gone: the file of the ids that go.
+
+    Row ids follow __ord, the order of the input: a monotonically increasing id, so its high bits tell how many ids to set aside.
+    """
     st = session.storage
-    parts, deletes, out = (), (), None
-    if removed is not None:
-        deletes = (st.write(removed.select(ROW_ID)),)
+    parts, out = (), None
     if added is not None:
-        base = session.next_row_ids(meta.id)
-        names = [c.name for c in meta.columns]
-        path = st.write(added.select(*map(_c, names)).withColumn(ROW_ID, F.lit(base) + F.monotonically_increasing_id()))
-        parts = (path,)
+        last = added.agg(F.max("__ord")).first()[0] or 0
+        base = session.next_row_ids((last >> 33) + 1)
+        parts = (st.add(meta, added.withColumn(ROW_ID, F.lit(base) + F.col("__ord"))),)
         out = st.read(meta, Version(parts))
-    session.note(meta.id, Version(parts, deletes))
+    session.note(meta.id, Version(parts, () if gone is None else (gone,)))
     return out
 
 
-def _lock(session, meta: TableMeta, ids: DataFrame) -> None:
-    from larkspur.operators.locks import MOST_ROWS
+def _lock(session, meta: TableMeta, ids: DataFrame) -> str:
+    """Write down the ids of rows that a change takes away; until the transaction ends they are this session's.
 
-    rows = ids.select(ROW_ID).limit(MOST_ROWS + 1).collect()
-    if len(rows) > MOST_ROWS:
-        session.engine.locks.take_table(session, meta.id)
-        return
-    for r in rows:
-        if not session.engine.locks.take(session, meta.id, r[0], wait=False):
+    Fails if another session holds one of them. Both sides are files, so the number of rows does not matter. The
+    table's latch is held, so nobody else locks meanwhile.
+    """
+    st, locks = session.storage, session.engine.locks
+    path = st.write(ids.select(ROW_ID))
+    held = [p for _, p in locks.files_of_others(session, meta.id)]
+    single = locks.rows_of_others(session, meta.id)
+    others = ([st.ids(held)] if held else []) + ([session.spark.createDataFrame([(r,) for r in single], f"{ROW_ID} long")] if single else [])
+    for df in others:
+        if not st.ids([path]).join(df, ROW_ID, "left_semi").isEmpty():
             raise SqlError("55P03", f"could not obtain lock on row in relation {meta.name!r}")
+    locks.take_file(session, meta.id, path)
+    return path
+
+
+def _uncommitted(session, meta: TableMeta) -> DataFrame | None:
+    """Rows that other sessions have added and not yet committed; their keys are taken."""
+    out = None
+    for v in session.others(meta.id):
+        if v.parts:
+            rows = session.storage.read(meta, v)
+            out = rows if out is None else out.union(rows)
+    return out
+
+
+def _taken(session, meta: TableMeta, visible: DataFrame) -> DataFrame:
+    """Rows whose keys a new row must not have."""
+    more = _uncommitted(session, meta)
+    return visible if more is None else visible.union(more.select(*visible.columns))
 
 
 def _parents(session, meta: TableMeta, *now: DataFrame):
-    """How a foreign key check reads tables: the changed one as it will be, for keys that point to itself."""
+    """How a foreign key check reads tables: the changed one as it will be, for keys that point to itself; others without rows that another session is about to delete."""
     names = [c.name for c in meta.columns]
 
-    def read(table_id: int) -> DataFrame:
-        if table_id != meta.id:
-            return session.read_id(table_id)
-        out = now[0].select(*map(_c, names))
-        for df in now[1:]:
-            out = out.union(df.select(*map(_c, names)))
+    def read(fk) -> DataFrame:
+        if fk.target == meta.id:
+            out = now[0].select(*map(_c, names))
+            for df in now[1:]:
+                out = out.union(df.select(*map(_c, names)))
+            return out
+        out = session.read_id(fk.target)
+        for v in session.others(fk.target):
+            if not v.deletes:
+                continue
+            parent = session.db.tables[fk.target]
+            ids = session.storage.ids(v.deletes)
+            stays = out.join(ids, ROW_ID, "left_anti").select(*out.columns)
+            if v.parts:  # rows that it changes keep their keys
+                stays = stays.union(out.join(ids, ROW_ID, "left_semi").select(*out.columns).join(session.storage.read(parent, v).select(*map(_c, fk.to)), fk.to, "left_semi").select(*out.columns))
+            out = stays
         return out
 
     return read
@@ -109,21 +134,27 @@ def insert(session, s: A.Insert, em) -> tuple[int, DataFrame | None]:
     if len(set(names)) != len(names):
         raise SqlError("42701", "column specified more than once")
     rows = _values(session, meta, s, names, em) if s.rows is not None else _selected(session, meta, s, names, em)
-    rows = session.storage.spark.read.parquet(session.storage.write(rows))  # computed once, whatever follows
+    rows = session.spark.read.parquet(session.storage.write(rows))  # computed once, whatever follows
     rows = K.coerce(rows, meta.columns)
     K.check_not_null(rows, meta)
     count = rows.count()
-    existing = session.read(meta)
-    if s.conflict is None:
-        K.check_unique(rows, existing, meta)
+    with session.latched(meta):
+        existing = session.read(meta)
+        if s.conflict is not None:
+            return _conflict(session, meta, s, rows, existing, em)
+        K.check_unique(rows, _taken(session, meta, existing), meta)
         K.check_foreign(rows, meta, _parents(session, meta, existing, rows))
-        stored = _store(session, meta, rows.drop("__ord"), None)
-        return count, returning(session, s.returning, stored, meta.name, em)
-    return _conflict(session, meta, s, rows, existing, em)
+        stored = _store(session, meta, rows, None)
+    return count, returning(session, s.returning, stored, meta.name, em)
+
+
+def _cast(em, x, kind: str) -> str:
+    """An expression as a value of a column's type."""
+    return f"CAST({em.e(A.Cast(x, kind)) if kind in ('json', 'jsonb', 'binary') else em.e(x)} AS {spark_type(kind)})"
 
 
 def _default(meta_col, em) -> str:
-    return f"CAST({em.e(meta_col.default)} AS {spark_type(meta_col.type)})" if meta_col.default is not None else f"CAST(NULL AS {spark_type(meta_col.type)})"
+    return _cast(em, meta_col.default, meta_col.type) if meta_col.default is not None else f"CAST(NULL AS {spark_type(meta_col.type)})"
 
 
 def _identity(session, meta, df: DataFrame, taken: list[str]) -> DataFrame:
@@ -165,7 +196,7 @@ def _values(session, meta, s, names, em) -> DataFrame:
             if isinstance(x, A.Default):
                 v = session.identity_literal(meta.id, c) if c.identity else _default(c, em)
             else:
-                v = f"CAST({em.e(x) if c.type != 'json' and c.type != 'jsonb' else em.e(A.Cast(x, c.type))} AS {spark_type(c.type)})"
+                v = _cast(em, x, c.type)
             cells.append(f"{v} AS {quote(c.name)}")
         out.append(f"SELECT {', '.join(cells)}, {k}L AS __ord")
     return session.spark.sql(" UNION ALL ".join(out))
@@ -179,6 +210,8 @@ def _selected(session, meta, s, names, em) -> DataFrame:
     df = df.toDF(*names).withColumn("__ord", F.monotonically_increasing_id())
     _guard_identity(meta, s, names, lambda c: True)
     for c in meta.columns:
+        if c.name in names and c.type == "binary":
+            df = df.withColumn(c.name, F.expr(em.as_bytes(quote(c.name))))
         if c.name not in names and c.identity is None:
             df = df.withColumn(c.name, F.expr(_default(c, em)))
     df = _identity(session, meta, df, names)
@@ -206,7 +239,7 @@ def _conflict(session, meta, s, rows, existing, em):
     target = _target(meta, s)
     rest = [k for k in meta.keys() if k not in target]
     if s.conflict.sets is None:
-        keep = rows
+        keep, existing = rows, _taken(session, meta, existing)
         for key in target:  # the first row of each key, if the table has none
             cols = [_c(c) for c in key.columns]
             full = keep
@@ -223,14 +256,22 @@ def _conflict(session, meta, s, rows, existing, em):
 
 
 def _upsert(session, meta, s, rows, existing, key, em):
-    """Rows of one key are applied in input order, one round for each repetition; a round is one join with the table."""
+    """Rows of one key are applied in input order, one round for each repetition.
+
+    Only the table's rows with a key of the input take part and only they are written; a round is one join of these.
+    """
     names = [c.name for c in meta.columns]
     cols = [_c(c) for c in key.columns]
     rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*cols).orderBy("__ord")))
     spark, st = session.spark, session.storage
+    busy = _uncommitted(session, meta)
+    if busy is not None and not rows.join(busy.select(*cols), key.columns, "left_semi").isEmpty():
+        raise SqlError("55P03", f"could not obtain lock on row in relation {meta.name!r}")
     rounds = rows.agg(F.max("__n")).first()[0] or 0
-    state = existing.withColumn("__touched", F.lit(0))  # rows as they are after the rounds so far; row id null where new
-    applied = 0
+    # rows as they are after the rounds so far; row id null where new
+    state = existing.join(rows.select(*cols).distinct(), key.columns, "left_semi").select(*existing.columns).withColumn("__touched", F.lit(0))
+    state = spark.read.schema(state.schema).parquet(st.write(state))
+    before = state
     for k in range(1, rounds + 1):
         now = rows.where(F.col("__n") == k)
         new_view = session.view(now.select(*[_c(n).alias(f"__x_{n}") for n in names]))
@@ -256,23 +297,54 @@ def _upsert(session, meta, s, rows, existing, key, em):
         cells = [f"CASE WHEN {hit} AND {cond} THEN CAST({sets[n]} AS {spark_type(meta.column(n).type)}) ELSE t.{quote(n)} END AS {quote(n)}" if n in sets else f"t.{quote(n)}" for n in names]
         updated = spark.sql(f"SELECT {', '.join(cells)}, t.{ROW_ID}, t.__touched + CASE WHEN {hit} AND {cond} THEN 1 ELSE 0 END AS __touched FROM {quote(old_view)} t LEFT JOIN {quote(new_view)} x ON {on}")
         fresh = spark.sql(f"SELECT {', '.join(f'x.{quote("__x_" + n)} AS {quote(n)}' for n in names)}, CAST(NULL AS BIGINT) AS {ROW_ID}, 1 AS __touched FROM {quote(new_view)} x LEFT ANTI JOIN {quote(old_view)} t ON {on}")
-        state = spark.read.parquet(st.write(updated.union(fresh)))
-        applied += 1
+        state = spark.read.parquet(st.write(updated.union(fresh).withColumn("__ord", F.monotonically_increasing_id())))
     touched = state.where("__touched > 0")
     count = int(touched.agg(F.coalesce(F.sum("__touched"), F.lit(0))).first()[0])
-    K.check_not_null(touched, meta)
-    K.check_unique(touched, state.where("__touched = 0"), meta)
-    K.check_foreign(touched, meta, _parents(session, meta, state))
     old = touched.where(_c(ROW_ID).isNotNull())
-    _guard_parents(session, meta, old, existing, [c for c, _ in s.conflict.sets])
-    _lock(session, meta, old)
-    stored = _store(session, meta, touched.drop(ROW_ID, "__touched"), old)
+    others = existing.join(old.select(ROW_ID), ROW_ID, "left_anti").select(*existing.columns)
+    K.check_not_null(touched, meta)
+    K.check_unique(touched, _taken(session, meta, others), meta)
+    K.check_foreign(touched, meta, _parents(session, meta, others, touched))
+    _guard_parents(session, meta, old, before, [c for c, _ in s.conflict.sets])
+    gone = _lock(session, meta, old)
+    stored = _store(session, meta, touched, gone)
     return count, returning(session, s.returning, stored, meta.name, em)
 
 
 # ---- UPDATE
 def update(session, s: A.Update, em) -> tuple[int, DataFrame | None]:
     meta = session.table(s.table.name)
+    with session.latched(meta):
+        return _update(session, meta, s, em)
+
+
+def _numbered(session, em, source) -> tuple[str, list[str]]:
+    """The source of an UPDATE … FROM, and the columns that order its rows as they were put in: by its first table, then the next."""
+    order: list[str] = []
+
+    def leaf(x) -> str:
+        em.leaf = None  # a subquery's own tables need no numbers
+        try:
+            name, alias = f"__at{len(order)}", x.alias or x.name[-1]
+            if isinstance(x, A.Table):
+                meta = None if len(x.name) == 1 and x.name[0] in em.resolve.ctes else session.find(x.name)
+                rows = session.read(meta).withColumnRenamed(ROW_ID, name) if meta is not None else session.spark.table(em.resolve(x.name)).withColumn(name, F.monotonically_increasing_id())
+                inner = quote(session.view(rows))
+            else:
+                inner = f"(SELECT *, monotonically_increasing_id() AS {name} FROM ({em.select(x.query)}))"
+            order.append(f"{quote(alias)}.{name}")
+            return f"{inner} AS {quote(alias)}"
+        finally:
+            em.leaf = leaf
+
+    em.leaf = leaf
+    try:
+        return em.source(source), order
+    finally:
+        em.leaf = None
+
+
+def _update(session, meta, s: A.Update, em) -> tuple[int, DataFrame | None]:
     alias = s.table.alias or meta.name
     for c, _ in s.sets:
         col = meta.column(c)
@@ -282,8 +354,8 @@ def update(session, s: A.Update, em) -> tuple[int, DataFrame | None]:
         raise SqlError("42601", "multiple assignments to same column")
     rows = session.read(meta)
     view = session.view(rows)
-    sets = {c: _default(meta.column(c), em) if isinstance(e, A.Default) else em.e(e) for c, e in s.sets}
-    cells = [f"CAST({sets[c.name]} AS {spark_type(c.type)}) AS {quote(c.name)}" if c.name in sets else f"{quote(alias)}.{quote(c.name)} AS {quote(c.name)}" for c in meta.columns]
+    sets = {c: _default(meta.column(c), em) if isinstance(e, A.Default) else _cast(em, e, meta.column(c).type) for c, e in s.sets}
+    cells = [f"{sets[c.name]} AS {quote(c.name)}" if c.name in sets else f"{quote(alias)}.{quote(c.name)} AS {quote(c.name)}" for c in meta.columns]
     extra: dict = {}
     if s.source is not None and s.returning is not None:
         for t in _leaves(s.source):
@@ -291,24 +363,27 @@ def update(session, s: A.Update, em) -> tuple[int, DataFrame | None]:
             for c in session.columns_of(t, em):
                 extra[q, c] = f"__src_{q}_{c}"
                 cells.append(f"{quote(q)}.{quote(c)} AS {quote(f'__src_{q}_{c}')}")
-    source = f" CROSS JOIN {em.source(s.source)}" if s.source is not None else ""
+    from_sql, order = _numbered(session, em, s.source) if s.source is not None else ("", [])
+    source = f" CROSS JOIN {from_sql}" if from_sql else ""
     where = f" WHERE {em.e(s.where)}" if s.where is not None else ""
-    hit = session.spark.sql(f"SELECT {', '.join(cells)}, {quote(alias)}.{ROW_ID} AS {ROW_ID} FROM {quote(view)} AS {quote(alias)}{source}{where}")
-    if s.source is not None:
-        hit = hit.dropDuplicates([ROW_ID])  # one source row for each target row
-    hit = session.spark.read.parquet(session.storage.write(hit))
-    names = [c.name for c in meta.columns]
+    at = "".join(f", {x} AS __at{i}" for i, x in enumerate(order))
+    hit = session.spark.sql(f"SELECT {', '.join(cells)}, {quote(alias)}.{ROW_ID} AS {ROW_ID}{at} FROM {quote(view)} AS {quote(alias)}{source}{where}")
+    if s.source is not None:  # the first source row for each target row, by an aggregate that starts on the map side
+        names = [c for c in hit.columns if c != ROW_ID and not c.startswith("__at")]
+        first = hit.groupBy(ROW_ID).agg(F.min(F.struct(*[f"__at{i}" for i in range(len(order))], *map(_c, names))).alias("__first"))
+        hit = first.select(*[F.col("__first")[c].alias(c) for c in names], ROW_ID)
+    hit = session.spark.read.parquet(session.storage.write(hit.withColumn("__ord", F.monotonically_increasing_id())))
     K.check_not_null(hit, meta)
     changed = [k for k in meta.keys() if set(k.columns) & sets.keys()]
-    others = rows.join(hit.select(ROW_ID), ROW_ID, "left_anti")
+    others = rows.join(hit.select(ROW_ID), ROW_ID, "left_anti").select(*rows.columns)
     if changed:
-        K.check_unique(hit, others, meta, changed)
+        K.check_unique(hit, _taken(session, meta, others), meta, changed)
     K.check_foreign(hit, meta, _parents(session, meta, others, hit))
     _guard_parents(session, meta, hit, rows, list(sets))
-    _lock(session, meta, hit)
+    gone = _lock(session, meta, hit)
     count = hit.count()
-    _store(session, meta, hit.select(*map(_c, names)), hit)
-    return count, returning(session, s.returning, hit, alias, em, extra)
+    _store(session, meta, hit, gone)
+    return count, returning(session, s.returning, hit.drop("__ord"), alias, em, extra)
 
 
 def _leaves(x):
@@ -331,6 +406,11 @@ def _guard_parents(session, meta, new: DataFrame, old: DataFrame, touched: list[
 # ---- DELETE
 def delete(session, s: A.Delete, em) -> tuple[int, DataFrame | None]:
     meta = session.table(s.table.name)
+    with session.latched(meta):
+        return _delete(session, meta, s, em)
+
+
+def _delete(session, meta, s: A.Delete, em) -> tuple[int, DataFrame | None]:
     alias = s.table.alias or meta.name
     view = session.view(session.read(meta))
     where = f" WHERE {em.e(s.where)}" if s.where is not None else ""
@@ -338,8 +418,7 @@ def delete(session, s: A.Delete, em) -> tuple[int, DataFrame | None]:
     gone = session.spark.read.schema(gone.schema).parquet(session.storage.write(gone))
     count = gone.count()
     for m, rows in cascade(session, meta, gone):
-        _lock(session, m, rows)
-        _store(session, m, None, rows)
+        _store(session, m, None, _lock(session, m, rows))
     return count, returning(session, s.returning, gone, alias, em)
 
 
@@ -350,6 +429,9 @@ def cascade(session, meta, gone: DataFrame) -> list[tuple[TableMeta, DataFrame]]
     while todo:
         parent, rows = todo.pop()
         for child, fk in K.inbound(session.db, parent.id):
+            unseen = _uncommitted(session, child)  # children that another session has added
+            if unseen is not None and not K.children(rows, unseen, fk).isEmpty():
+                raise SqlError("23503", f"delete violates foreign key constraint {fk.name!r} on table {child.name!r}")
             hit = K.children(rows, session.read(child), fk)
             if child.id in doomed:
                 hit = hit.join(doomed[child.id][1].select(ROW_ID), ROW_ID, "left_anti")

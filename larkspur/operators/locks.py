@@ -1,49 +1,55 @@
-"""Row locks and advisory locks of the sessions of one engine, held by the driver."""
+"""Row locks and advisory locks of the sessions of one engine.
+
+Rows that a change takes away are locked by the file that lists them, however many they are; only the rows of a
+SELECT … FOR UPDATE with a limit are held one by one in the driver.
+"""
 
 from __future__ import annotations
 
 import threading
 import time
 
-from larkspur.errors import SqlError
-
-#: Row ids that one statement may lock singly; a larger change locks the whole table.
-MOST_ROWS = 10_000
-
 
 class RowLocks:
     def __init__(self):
-        self.changed, self.rows, self.tables = threading.Condition(), {}, {}
+        self.changed, self.rows, self.files = threading.Condition(), {}, []
+
+    def holder(self, who, table: int, row: int):
+        """Another session that holds this row singly."""
+        owner = self.rows.get((table, row))
+        return owner if owner is not who else None
 
-    def _holder(self, table: int, row: int, who):
-        for owner in (self.tables.get(table), self.rows.get((table, row))):
-            if owner is not None and owner is not who:
-                return owner
-        return None
+    def take(self, who, table: int, row: int) -> None:
+        with self.changed:
+            self.rows[table, row] = who
+
+    def take_file(self, who, table: int, path: str) -> None:
+        with self.changed:
+            self.files.append((who, table, path))
 
-    def take(self, who, table: int, row: int, wait: bool, timeout: float | None = None) -> bool:
-        """Lock a row; without wait, or past the timeout, False if another session holds it."""
-        end = None if not timeout else time.monotonic() + timeout
+    def files_of_others(self, who, table: int) -> list[tuple]:
+        """(session, path) of the rows that others hold by files."""
         with self.changed:
-            while self._holder(table, row, who) is not None:
+            return [(o, p) for o, t, p in self.files if t == table and o is not who]
+
+    def rows_of_others(self, who, table: int) -> list[int]:
+        with self.changed:
+            return [r for (t, r), o in self.rows.items() if t == table and o is not who]
+
+    def wait_for(self, owner, end: float | None) -> bool:
+        """Until a session holds nothing any more; False past the end (a monotonic time)."""
+        with self.changed:
+            while any(o is owner for o, _, _ in self.files) or any(o is owner for o in self.rows.values()):
                 left = None if end is None else end - time.monotonic()
-                if not wait or left is not None and left <= 0:
+                if left is not None and left <= 0:
                     return False
                 self.changed.wait(left)
-            self.rows[table, row] = who
             return True
 
-    def take_table(self, who, table: int) -> None:
-        with self.changed:
-            others = [o for (t, _), o in self.rows.items() if t == table and o is not who]
-            if others or self.tables.get(table) not in (None, who):
-                raise SqlError("55P03", "could not obtain lock on rows")
-            self.tables[table] = who
-
     def release(self, who) -> None:
         with self.changed:
             self.rows = {k: o for k, o in self.rows.items() if o is not who}
-            self.tables = {k: o for k, o in self.tables.items() if o is not who}
+            self.files = [f for f in self.files if f[0] is not who]
             self.changed.notify_all()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspur.engine import Engine, Session
 from larkspur.errors import SqlError
 from larkspur.sources.text import as_text
+from larkspur.sources.wire import as_binary
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -20,8 +21,8 @@ ORACLES: dict[str, str] = {}
 
 def open_session(spark: SparkSession, sf_dir: str) -> Session:
     engine = Engine(spark)
-    for name in TABLES:
-        engine.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    for name in TABLES:  # a table is opened when a statement first names it
+        engine.register(name, lambda spark, path=f"{sf_dir}/{name}.parquet": spark.read.parquet(path))
     return engine.session()
 
 
@@ -87,6 +88,8 @@ query("S5_derived_table", "SELECT d.k, d.n FROM (SELECT o_custkey AS k, count(*)
 script("S6_system_catalog", ["CREATE SCHEMA s1", "CREATE TABLE s1.t (a int)", "CREATE TABLE u (a int PRIMARY KEY)", "SELECT schemaname, tablename, hasindexes FROM pg_catalog.pg_tables"], "SELECT * FROM (VALUES ('s1', 't', false), ('public', 'u', true)) t(schemaname, tablename, hasindexes)")
 QUERIES["S7_text_rows"] = lambda spark, sf_dir: as_text(open_session(spark, sf_dir).query("SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice > 100000 AS b, o_custkey * 1.0 AS f FROM orders"))
 ORACLES["S7_text_rows"] = "SELECT o_orderkey::VARCHAR AS k, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS d, CASE WHEN o_totalprice > 100000 THEN 't' ELSE 'f' END AS b, o_custkey::VARCHAR AS f FROM orders"
+QUERIES["S7_binary_rows"] = lambda spark, sf_dir: spark.sql("SELECT hex(k) AS k, hex(c) AS c, hex(d) AS d, hex(b) AS b, hex(s) AS s FROM {df}", df=as_binary(open_session(spark, sf_dir).query("SELECT o_orderkey::bigint AS k, o_custkey::int AS c, o_orderdate::date AS d, o_totalprice > 100000 AS b, o_orderstatus AS s FROM orders")))
+ORACLES["S7_binary_rows"] = "SELECT printf('%016X', o_orderkey::BIGINT) AS k, printf('%08X', o_custkey::INT) AS c, CASE WHEN o_orderdate::DATE >= DATE '2000-01-01' THEN printf('%08X', date_diff('day', DATE '2000-01-01', o_orderdate::DATE)) ELSE printf('%08X', 4294967296 + date_diff('day', DATE '2000-01-01', o_orderdate::DATE)) END AS d, CASE WHEN o_totalprice > 100000 THEN '01' ELSE '00' END AS b, hex(o_orderstatus) AS s FROM orders"
 query("S8_parameters", "SELECT o_orderkey FROM orders WHERE o_totalprice > $1 AND o_orderpriority = $2", "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000 AND o_orderpriority = '1-URGENT'", (250000, "1-URGENT"))
 # ---- projections
 query("P1_expressions", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem")
@@ -148,6 +151,7 @@ query("X4_concat", "SELECT c_custkey, c_name || '-' || c_custkey || ':' || (c_ac
 query("X5_coalesce", "SELECT c_custkey, coalesce(NULL, CASE WHEN c_acctbal > 0 THEN c_name END, 'none') AS c FROM customer")
 query("X6_upper_lower", "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l FROM nation")
 query("X7_length", "SELECT c_custkey, length(c_name) AS n, char_length(c_mktsegment) AS m FROM customer", "SELECT c_custkey, length(c_name)::INT AS n, length(c_mktsegment)::INT AS m FROM customer")
+query("X7_length_of_bytes", r"SELECT c_custkey, length('\x0102ff'::bytea) AS n, length(c_name::bytea) AS m FROM customer", "SELECT c_custkey, 3 AS n, octet_length(encode(c_name))::INT AS m FROM customer")
 query("X8_abs", "SELECT c_custkey, abs(c_acctbal) AS a FROM customer")
 query("X9_ln", "SELECT o_orderkey FROM orders WHERE ln(o_totalprice) > 11.5")
 query("X10_log", "SELECT o_orderkey FROM orders WHERE log(o_totalprice) > 5.1 AND log(2, o_totalprice) > 17", "SELECT o_orderkey FROM orders WHERE log10(o_totalprice) > 5.1 AND ln(o_totalprice) / ln(2) > 17")
@@ -186,8 +190,10 @@ script("D7_cascade", ["CREATE TABLE c (k bigint PRIMARY KEY)", "CREATE TABLE o (
 script("D8_returning", [_ORDERS, _FILL, "UPDATE o SET p = p * 2 WHERE s = 'F' RETURNING k, p AS doubled"], "SELECT o_orderkey AS k, o_totalprice * 2 AS doubled FROM orders WHERE o_orderstatus = 'F'")
 script("D10_truncate", [_ORDERS, _FILL, "TRUNCATE o", "SELECT count(*) AS n FROM o"], "SELECT 0::BIGINT AS n")
 script("D12_default_expression", ["CREATE TABLE t (a int, b text DEFAULT upper('ab' || 'cd'))", "INSERT INTO t (a) SELECT n_nationkey FROM nation", "SELECT a, b FROM t"], "SELECT n_nationkey AS a, 'ABCD' AS b FROM nation")
+script("D13_identity_of_many", ["CREATE TABLE t (i bigint GENERATED ALWAYS AS IDENTITY (START WITH 10 INCREMENT BY 5), k bigint)", "INSERT INTO t (k) SELECT o_orderkey FROM orders", "SELECT min(i) AS a, max(i) AS b, count(*) AS n, count(DISTINCT i) AS m, sum(k) AS s FROM t"], "SELECT 10::BIGINT AS a, (5 + 5 * count(*))::BIGINT AS b, count(*) AS n, count(*) AS m, sum(o_orderkey)::BIGINT AS s FROM orders")
 script("D13_identity", ["CREATE TABLE t (i bigint GENERATED ALWAYS AS IDENTITY (START WITH 10 INCREMENT BY 5), a text)", "INSERT INTO t (a) VALUES ('x'), ('y')", "INSERT INTO t (a) VALUES ('z')", "SELECT i, a FROM t"], "SELECT * FROM (VALUES (10::BIGINT, 'x'), (15::BIGINT, 'y'), (20::BIGINT, 'z')) t(i, a)")
 script("Q3_scalar_subquery_in_set", [_ORDERS, _FILL, "UPDATE o SET p = (SELECT max(c_acctbal) FROM customer) WHERE s = 'O'", "SELECT k, p FROM o"], "SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'O' THEN (SELECT max(c_acctbal) FROM customer) ELSE o_totalprice END AS p FROM orders")
+query("Q4_scalar_subquery_without_from", "SELECT o_orderkey, (SELECT o_custkey + 1) AS a, CASE WHEN (SELECT o_totalprice > 100000) THEN (SELECT 1) ELSE 0 END AS b FROM orders WHERE o_custkey <> (SELECT 7) ORDER BY (SELECT o_orderkey)", "SELECT o_orderkey, o_custkey + 1 AS a, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS b FROM orders WHERE o_custkey <> 7")
 script("C6_modifying_cte", [_ORDERS, _FILL, "WITH gone AS (DELETE FROM o WHERE s = 'F' RETURNING c, p) SELECT c, count(*) AS n FROM gone GROUP BY c"], "SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")
 # ---- schema changes and constraints
 script("E2_add_column", [_ORDERS, _FILL, "ALTER TABLE o ADD COLUMN z int DEFAULT 7", "SELECT k, z FROM o"], "SELECT o_orderkey AS k, 7 AS z FROM orders")
@@ -196,8 +202,10 @@ script("E8_rename", [_ORDERS, _FILL, "ALTER TABLE o RENAME TO renamed", "SELECT
 # ---- transactions
 script("T1_rollback", [_ORDERS, _FILL, "BEGIN", "DELETE FROM o WHERE s = 'F'", "ROLLBACK", "SELECT count(*) AS n FROM o"], "SELECT count(*) AS n FROM orders")
 script("T1_commit", [_ORDERS, "BEGIN", _FILL, "DELETE FROM o WHERE s = 'F'", "COMMIT", "SELECT count(*) AS n FROM o"], "SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'F'")
-script("T4_for_update", ["CREATE TABLE j (id int PRIMARY KEY, ready boolean)", "INSERT INTO j VALUES (3, true), (1, false), (2, true), (4, true)", "SELECT id FROM j WHERE ready ORDER BY id FOR UPDATE SKIP LOCKED LIMIT 2"], "SELECT * FROM (VALUES (2), (3)) t(id)")
-script("T6_freeze_reset", ["CREATE TABLE t (a int)", "INSERT INTO t VALUES (1)", "SELECT engine_freeze()", "INSERT INTO t VALUES (2)", "SELECT engine_reset()", "SELECT a FROM t"], "SELECT 1 AS a")
+script("T4_for_update_of_many", [_ORDERS, _FILL, "SELECT k FROM o WHERE s = 'F' ORDER BY p DESC, k FOR UPDATE SKIP LOCKED"], "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F'")
+script("T4_for_update", [_ORDERS, _FILL, "SELECT k FROM o WHERE s = 'F' ORDER BY p DESC, k FOR UPDATE SKIP LOCKED LIMIT 20"], "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+script("T4_for_update_skipped", ["CREATE TABLE j (id int PRIMARY KEY, ready boolean)", "INSERT INTO j VALUES (3, true), (1, false), (2, true), (4, true)", "SELECT id FROM j WHERE ready ORDER BY id FOR UPDATE SKIP LOCKED LIMIT 2"], "SELECT * FROM (VALUES (2), (3)) t(id)")
+script("T6_freeze_reset", [_ORDERS, _FILL, "SELECT engine_freeze()", "DELETE FROM o WHERE s = 'F'", "SELECT engine_freeze()", "SELECT engine_reset()", "SELECT count(*) AS n, sum(p) AS p FROM o"], "SELECT count(*) AS n, sum(o_totalprice) AS p FROM orders")
 script("T8_settings", ["SET search_path TO s2, public", "CREATE SCHEMA s2", "CREATE TABLE t (a int)", "INSERT INTO s2.t VALUES (5)", "SELECT a, current_schema() AS s FROM t"], "SELECT 5 AS a, 's2' AS s")
 # ---- checks, counts and sessions
 _PAIR = "CREATE TABLE a (k int PRIMARY KEY, u int UNIQUE); CREATE TABLE b (k int PRIMARY KEY, a int REFERENCES a (k)); INSERT INTO a VALUES (1, 1), (2, 2); INSERT INTO b VALUES (1, 1)"
@@ -222,11 +230,21 @@ query("O3_nan_order", "SELECT k, row_number() OVER (ORDER BY CASE WHEN k = 3 THE
 
 
 def _first_source_row(s: Session):
-    s.execute_batch("CREATE TABLE t (k int, v int); INSERT INTO t VALUES (1, 0), (2, 0); CREATE TABLE u (k int, v int); INSERT INTO u VALUES (1, 5), (1, 5), (3, 7)")
+    s.execute_batch("CREATE TABLE t (k int, v int); INSERT INTO t VALUES (1, 0), (2, 0), (4, 0); CREATE TABLE u (k int, v int); INSERT INTO u VALUES (1, 6), (4, 9), (1, 5)")
+    s.execute("INSERT INTO u VALUES (1, 7), (3, 7), (4, 8)")
     return [(s.execute("UPDATE t SET v = u.v FROM u WHERE u.k = t.k").count, *(r[0] for r in s.execute("SELECT v FROM t ORDER BY k").rows()))]
 
 
-calls("J8_first_source_row", _first_source_row, "n long, a int, b int", "SELECT 1::BIGINT AS n, 5 AS a, 0 AS b")
+calls("J8_first_source_row", _first_source_row, "n long, a int, b int, c int", "SELECT 2::BIGINT AS n, 6 AS a, 0 AS b, 9 AS c")
+script("J8_first_of_sorted_source", ["CREATE TABLE c (k bigint PRIMARY KEY, p float8)", "INSERT INTO c SELECT c_custkey, 0 FROM customer", "UPDATE c SET p = d.p FROM (SELECT o_custkey AS ck, o_totalprice AS p FROM orders ORDER BY o_totalprice DESC) d WHERE d.ck = c.k", "SELECT k, p FROM c"], "SELECT c_custkey AS k, coalesce(max(o_totalprice), 0) AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+
+
+def _fate(s: Session, sql: str) -> str:
+    try:
+        s.execute(sql).rows()
+        return "00000"
+    except SqlError as e:
+        return e.sqlstate
 
 
 def _two_sessions(s: Session):
@@ -245,7 +263,60 @@ def _two_sessions(s: Session):
 
 
 calls("T2_read_committed", _two_sessions, "before int, locked string, after int", "SELECT 1 AS before, '55P03' AS locked, 9 AS after")
-QUERIES["T5_locks_of_changes"], ORACLES["T5_locks_of_changes"] = QUERIES["T2_read_committed"], ORACLES["T2_read_committed"]
+
+
+def _change_locks(s: Session):
+    """However many rows a change locks, others may change the rest."""
+    t = s.engine.session()
+    s.execute_batch(f"{_ORDERS}; {_FILL}")
+    free, held = (s.execute(f"SELECT min(k) FROM o WHERE s {x} 'F'").rows()[0][0] for x in ("<>", "="))
+    s.execute("BEGIN")
+    n = s.execute("UPDATE o SET p = 0 WHERE s = 'F'").count
+    out = (n, _fate(t, f"UPDATE o SET p = 1 WHERE k = {free}"), _fate(t, f"UPDATE o SET p = 1 WHERE k = {held}"), _fate(t, f"DELETE FROM o WHERE k = {held}"), _fate(t, f"SELECT k FROM o WHERE k = {held} FOR UPDATE NOWAIT"))
+    s.execute("ROLLBACK")
+    return [(*out, _fate(t, f"UPDATE o SET p = 1 WHERE k = {held}"))]
+
+
+calls("T5_locks_of_changes", _change_locks, "n long, free string, upd string, del string, sel string, later string", "SELECT count(*) AS n, '00000' AS free, '55P03' AS upd, '55P03' AS del, '55P03' AS sel, '00000' AS later FROM orders WHERE o_orderstatus = 'F'")
+
+
+def _keys_between_sessions(s: Session):
+    t = s.engine.session()
+    s.execute_batch("CREATE TABLE p (k bigint PRIMARY KEY, u bigint UNIQUE); INSERT INTO p SELECT n_nationkey, n_nationkey FROM nation; CREATE TABLE c (k bigint PRIMARY KEY, p bigint REFERENCES p (k))")
+    s.execute("BEGIN")
+    s.execute("INSERT INTO p VALUES (100, 100)")
+    s.execute("DELETE FROM p WHERE k = 1")
+    s.execute("INSERT INTO c VALUES (1, 2)")
+    out = [_fate(t, q) for q in ("INSERT INTO p VALUES (100, 101)", "INSERT INTO p VALUES (101, 100)", "INSERT INTO c VALUES (2, 1)", "INSERT INTO c VALUES (2, 100)", "DELETE FROM p WHERE k = 2", "INSERT INTO p VALUES (102, 102)")]
+    s.execute("COMMIT")
+    return [(*out, t.execute("SELECT count(*) FROM p").rows()[0][0])]
+
+
+calls("K1_keys_between_sessions", _keys_between_sessions, "pk string, uq string, gone string, unseen string, child string, other string, n long", "SELECT '23505' AS pk, '23505' AS uq, '23503' AS gone, '23503' AS unseen, '23503' AS child, '00000' AS other, count(*) + 1 AS n FROM nation")
+
+
+def _schema_between_sessions(s: Session):
+    t = s.engine.session()
+    s.execute_batch("CREATE TABLE t (k bigint); INSERT INTO t SELECT n_nationkey FROM nation")
+    s.execute("BEGIN")
+    s.execute("CREATE TABLE x (a int)")
+    s.execute("ALTER TABLE t ADD COLUMN z int DEFAULT 3")
+    t.execute_batch("CREATE TABLE y (a int); INSERT INTO y VALUES (1); INSERT INTO t (k) VALUES (77)")
+    s.execute("INSERT INTO t (k, z) VALUES (78, 4)")
+    s.execute("COMMIT")
+    return [(t.execute("SELECT count(*) FROM y").rows()[0][0], *t.execute("SELECT count(*), sum(z) FROM t").rows()[0])]
+
+
+calls("T1_schema_between_sessions", _schema_between_sessions, "y long, n long, z long", "SELECT 1::BIGINT AS y, count(*) + 2 AS n, (3 * count(*) + 7)::BIGINT AS z FROM nation")
+
+
+def _zones(s: Session):
+    t = s.engine.session()
+    s.execute("SET timezone TO '+05:00'")
+    return [(s.execute("SELECT timestamptz '2024-01-01 00:00:00+00'::text").rows()[0][0], t.execute("SELECT timestamptz '2024-01-01 00:00:00+00'::text").rows()[0][0], s.execute("SHOW timezone").rows()[0][0], t.execute("SHOW timezone").rows()[0][0])]
+
+
+calls("T8_zone_of_a_session", _zones, "a string, b string, c string, d string", "SELECT '2024-01-01 05:00:00' AS a, '2024-01-01 00:00:00' AS b, '+05:00' AS c, 'UTC' AS d")
 
 
 def _batch(s: Session):
@@ -271,5 +342,20 @@ def _released(s: Session):
 calls("T9_locks_end_with_session", _released, "freed boolean", "SELECT true AS freed")
 calls("T10_statement_splitting", lambda s: [(len(s.execute_batch("SELECT 'a;b'; -- no; \n SELECT 1")),)], "n int", "SELECT 2 AS n")
 calls("T11_prepared", lambda s: s.prepare("SELECT n_name FROM nation WHERE n_nationkey = $1").execute(3).rows(), "n_name string", "SELECT n_name FROM nation WHERE n_nationkey = 3")
-QUERIES["T7_reset"], ORACLES["T7_reset"] = QUERIES["T6_freeze_reset"], ORACLES["T6_freeze_reset"]
+calls("T11_described", lambda s: [(str(p.parameters()), str(p.columns())) for p in [s.prepare("SELECT n_name, count(*) AS n FROM nation WHERE n_nationkey > $1::bigint GROUP BY n_name LIMIT $2")]], "a string, b string", "SELECT '[''bigint'', ''bigint'']' AS a, '[(''n_name'', ''string''), (''n'', ''bigint'')]' AS b")
+
+
+def _reset(s: Session):
+    """A session that resets loses its own changes; others keep theirs."""
+    t = s.engine.session()
+    s.execute_batch("CREATE TABLE t (k bigint); INSERT INTO t SELECT n_nationkey FROM nation")
+    s.execute("SELECT engine_freeze()")
+    for x in (s, t):
+        x.execute("DELETE FROM t WHERE k < 5")
+    s.execute("SELECT engine_reset()")
+    return [tuple(x.execute("SELECT count(*) FROM t").rows()[0][0] for x in (s, t))]
+
+
+calls("T7_reset", _reset, "own long, other long", "SELECT count(*) AS own, count(*) FILTER (WHERE n_nationkey >= 5) AS other FROM nation")
+calls("X23_snapshot_functions", lambda s: [(*[s.execute(f"SELECT engine_{x}()").rows()[0][0] for x in ("freeze", "freeze", "reset", "reset")], s.execute("BEGIN").tag, _fate(s, "SELECT engine_freeze()"))], "a boolean, b boolean, c boolean, d boolean, e string, f string", "SELECT true AS a, true AS b, true AS c, true AS d, 'BEGIN' AS e, '25001' AS f")
 query("flagship_revenue", FLAGSHIP)

@@ -49,12 +49,17 @@ def interval(s: str) -> str:
     return f"make_dt_interval(0, 0, 0, CAST({micros} AS DECIMAL(27, 6)) / 1000000)"
 
 
+_HEX_MARK = r"^\\{1,2}x"
+_HEX = _HEX_MARK + "([0-9a-fA-F]{2})*$"
+
+
 class Emitter:
     """Writes one statement. `resolve` turns a table name into a temporary view's name; `session` gives session functions."""
 
     def __init__(self, resolve, session, params=()):
         self.resolve, self.session, self.params = resolve, session, params
         self.rename = None  # hook for column references
+        self.leaf = None  # hook for the tables of a source
 
     # ---- expressions
     def e(self, x) -> str:
@@ -94,8 +99,18 @@ class Emitter:
             return f"CASE WHEN {v} IS NULL OR try_parse_json(CAST({v} AS STRING)) IS NOT NULL THEN CAST({v} AS STRING) ELSE {bad} END"
         if x.type == "string":
             return self.as_text(x.arg)
+        if x.type == "binary":
+            return self.as_bytes(v)
         return f"CAST({v} AS {x.type})"
 
+    @staticmethod
+    def as_bytes(v: str) -> str:
+        """Bytes as they are; a text's own bytes, or those that it spells after \\x."""
+        bad = dialect.fail("22001", "invalid input syntax for type bytea")
+        own = f"CAST({v} AS STRING)"
+        hexed = f"CASE WHEN {own} RLIKE {text(_HEX)} THEN unhex(regexp_replace({own}, {text(_HEX_MARK)}, '')) ELSE {bad} END"
+        return f"CASE WHEN {v} IS NULL OR typeof({v}) = 'binary' THEN CAST({v} AS BINARY) WHEN {own} RLIKE {text(_HEX_MARK)} THEN {hexed} ELSE CAST({own} AS BINARY) END"
+
     def as_text(self, x) -> str:
         """Text form of a value; booleans are t and f."""
         v = self.e(x)
@@ -191,16 +206,18 @@ class Emitter:
         return "ORDER BY " + ", ".join(out)
 
     def source(self, x) -> str:
+        if self.leaf is not None and not isinstance(x, A.Join):
+            return self.leaf(x)
         if isinstance(x, A.Table):
             return f"{quote(self.resolve(x.name))} AS {quote(x.alias or x.name[-1])}"
         if isinstance(x, A.Derived):
             return f"({self.select(x.query)}) AS {quote(x.alias)}"
         if x.kind == "cross":
             return f"{self.source(x.left)} CROSS JOIN {self.source(x.right)}"
-        right = self.source(x.right)
+        left, right = self.source(x.left), self.source(x.right)
         if isinstance(x.right, A.Join):
             right = f"({right})"
-        return f"{self.source(x.left)} {x.kind.upper()} JOIN {right} ON {self.e(x.on)}"
+        return f"{left} {x.kind.upper()} JOIN {right} ON {self.e(x.on)}"
 
     def count(self, x, what: str) -> int:
         """A limit or offset: a number or a parameter, perhaps cast."""
