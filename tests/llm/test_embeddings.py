@@ -29,7 +29,8 @@ def data(rng):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(E, "BLOCK", 16)
+    for name, few in (("MEMBERS", 16), ("VISITORS", 24), ("CELLS", 64)):
+        monkeypatch.setattr(E, name, few)
     x = data(np.random.default_rng(5))
     x += [None, [], [0.0] * 24, [float("nan")] + [1.0] * 23, [None] + [1.0] * 23, [float("inf")] + [1.0] * 23, [1.0] * 23, [1e-30] * 24, [1e30] * 24]
     ids = [3 * i + 7 for i in range(len(x))]
