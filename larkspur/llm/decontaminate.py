@@ -17,10 +17,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import sliced, with_columns_by_batch
+from larkspur.llm.runtime import map_batches, materialize, sliced, with_columns_by_batch
 
-#: Benchmark text of one pass over the documents; a larger benchmark takes several passes, each over all documents.
-PASS_BYTES = 64 << 20
+#: Benchmark text of one pass over the documents: some 8 times as many bytes in the driver and in every Python worker. A
+#: larger benchmark takes several passes, each over all documents and each written before the next one starts.
+PASS_BYTES = 8 << 20
 
 SAMPLE = 8
 FOUND = "doc_id long, text string, n_words long, hits array<struct<start:int,end:int>>, items array<string>"
@@ -108,28 +109,41 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of benchmark items over the items' vocabulary."""
+    """Windows of benchmark items over the items' vocabulary, in flat arrays.
+
+    by_length: number of words -> (distinct windows, one a row; where each one's items start; items of all, by number).
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
         import pyarrow as pa
 
         from larkspur.llm.words import ALNUM, spans, text_bytes, word_array
 
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        item = np.array([number[name] for name, _ in items], np.int32)
         buf, ends = text_bytes(pa.array([t for _, t in items], pa.string()))
         start, end, before = spans(buf, ends, ALNUM)
         coded = word_array(buf, start, end).dictionary_encode()
         self.vocabulary = coded.dictionary
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1
         self.sigma = len(self.vocabulary) + 1
-        owners: dict[tuple, set] = {}
-        for i, (name, _) in enumerate(items):
-            w = codes[before[i] : before[i + 1]].tolist()
-            for k in range(max(len(w) - width, 0) + 1 if w else 0):
-                owners.setdefault(tuple(w[k : k + width]), set()).add(name)
-        self.by_length: dict[int, tuple[np.ndarray, list]] = {}
-        for n in sorted({len(p) for p in owners}):
-            own = [p for p in owners if len(p) == n]
-            self.by_length[n] = (np.array(own, np.int64), [sorted(owners[p]) for p in own])
+        n = np.diff(before)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(np.minimum(n[n > 0], width)).tolist():
+            own = np.flatnonzero(n >= width if size == width else n == size)
+            count = n[own] - size + 1
+            first = np.repeat(before[own] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            matrix = codes[first[:, None] + np.arange(size)]
+            who = np.repeat(item[own], count)
+            order = np.lexsort((who, *matrix.T[::-1]))
+            matrix, who = matrix[order], who[order]
+            new = np.ones(len(matrix), bool)
+            new[1:] = (matrix[1:] != matrix[:-1]).any(1)
+            keep = new.copy()
+            keep[1:] |= who[1:] != who[:-1]
+            at = np.concatenate([np.flatnonzero(new[keep]), [int(keep.sum())]])
+            self.by_length[size] = (matrix[new], at.astype(np.int32), who[keep])
 
 
 def find(texts, phrases: Phrases):
@@ -162,17 +176,19 @@ def find(texts, phrases: Phrases):
             seq = np.concatenate([[0], seq, [0]])
             word_of = np.concatenate([[-1], np.insert(place, gap, -1), [-1]])
             index = FMIndex(seq, phrases.sigma)
-            for n, (matrix, owners) in phrases.by_length.items():
-                lo, hi = index.search(matrix)
-                which = np.flatnonzero(hi > lo)
-                count = (hi - lo)[which]
-                rows = np.repeat(lo[which] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            there = np.bincount(seq, minlength=phrases.sigma) > 0
+            for n, (matrix, first, owners) in phrases.by_length.items():
+                likely = np.flatnonzero(there[matrix].all(1))  # all words occur in the shard
+                lo, hi = index.search(matrix[likely].astype(np.int64))
+                found = np.flatnonzero(hi > lo)
+                which, count = likely[found], (hi - lo)[found]
+                rows = np.repeat(lo[found] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
                 at = word_of[index.locate(rows)]
                 np.add.at(hit, at, 1)
                 np.add.at(hit, at + n, -1)
                 doc = np.searchsorted(before, at, side="right") - 1
                 for d, p in np.unique(np.stack([doc, np.repeat(which, count)], 1), axis=0).tolist():
-                    items.update((d, name) for name in owners[p])
+                    items.update((d, phrases.names[k]) for k in owners[first[p] : first[p + 1]].tolist())
     marked = np.cumsum(hit)[:-1] > 0
     edge = np.zeros(len(marked) + 1, bool)
     edge[before] = True
@@ -186,17 +202,21 @@ def find(texts, phrases: Phrases):
     return n_words, (doc, a - before[doc], b - before[doc], start[a], end[b - 1] if len(b) else b), items, buf, ends
 
 
+def _passes(spark, bench: DataFrame, key: list[str], width: int):
+    """The benchmark's phrases, a broadcast for each pass. bench: item_id, text."""
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = 1 + int(total) // PASS_BYTES
+    for k in range(passes):
+        part = bench if passes == 1 else bench.where(F.pmod(F.xxhash64(*key), F.lit(passes)) == k)
+        yield spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.toLocalIterator()], width))
+
+
 def locate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, text, n_words, hits (merged spans in words), items (ids with an occurrence, sorted as strings): one row per document, without a shuffle."""
-    spark = docs.sparkSession
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = 1 + int(total) // PASS_BYTES
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>").alias("hits"), F.from_json(F.lit("[]"), "array<string>").alias("items"))
-    for k in range(passes):
-        part = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        block = spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.toLocalIterator()], width))
-        out = out.mapInArrow(_searcher(block), FOUND)
+    for k, block in enumerate(_passes(docs.sparkSession, bench, ["item_id", "text"], width)):
+        out = map_batches(materialize(out, "located") if k else out, _searcher(block), FOUND)
     return out
 
 
@@ -242,18 +262,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
 def contaminated_flag(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """All columns of docs and __contaminated (an occurrence of some window), in a map over the scan."""
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = 1 + int(total) // PASS_BYTES
+    bench = benchmark.select(F.lit("").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     names, place = docs.columns, docs.columns.index("text")
-    out = docs
-    for k in range(passes):
-        part = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
-        block = spark.sparkContext.broadcast(Phrases([("", r["text"]) for r in part.toLocalIterator()], width))
-        out = with_columns_by_batch(out, _flagger(block, place), f"__hit{k} boolean")
-    hit = F.col("__hit0")
-    for k in range(1, passes):
+    out, hit = docs, F.lit(False)
+    for k, block in enumerate(_passes(docs.sparkSession, bench, ["text"], width)):
+        out = with_columns_by_batch(materialize(out, "flagged") if k else out, _flagger(block, place), f"__hit{k} boolean")
         hit = hit | F.col(f"__hit{k}")
     return out.select(*[out[c] for c in names], hit.alias("__contaminated"))
 
