@@ -2,11 +2,13 @@ r"""Chat formatting with typed content parts.
 
 A message is a list of parts (text, image, audio, document). A visitor flattens it into one string in which every
 attachment is an ordered placeholder; its reference and the number of tokens it expands to are recorded beside it.
-Each turn becomes a segment ``<|turn|>role\ntext<|end|>\n``; a conversation is its segments in order.
+Each turn becomes a segment ``<|turn|>role\ntext<|end|>\n``; a conversation is its segments in order, written as blocks of
+whole turns (one block but for very long conversations) with the spans of the loss mask and the attachments beside the
+text. A reader has only these: it finds the turns by their marks.
 
 Control strings inside a text get a backslash after their first character, and one more if some are there already
 (``</s>`` -> ``<\/s>`` -> ``<\\/s>``), so that formatting can be undone exactly. The loss mask covers the
-assistant's (escaped) texts, as code-point spans of the segment.
+assistant's (escaped) texts, as code-point spans of the block.
 
 Cases: a null text or null part list is empty, a null role is an empty role. Rows of a conversation are ordered by
 turn (nulls first), ties by role and text; repeated rows stay. Rows with a null conv_id form one conversation. Texts
@@ -15,9 +17,13 @@ of any length are formatted whole. An empty table gives no rows. Extra columns a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.runtime import map_batches
+
 #: Strings that mean something to this template or to a common other one.
 CONTROL = ["<|turn|>", "<|end|>", "<|image|>", "<|audio|>", "<|document|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
 
@@ -109,21 +115,116 @@ def format_turns(turns: DataFrame, parts: Column | None = None, visitor: PartVis
     return base.select("conv_id", "turn", F.concat("head", "body", F.lit("<|end|>\n")).alias("segment"), start.alias("loss_start"), end.alias("loss_end"), "attachments", "attachment_tokens")
 
 
-def parse_segments(formatted: DataFrame) -> DataFrame:
-    """Adds role, text and loss_text (null without a mask), undone from the segment and its mask."""
+#: Characters of a block, about; a longer turn makes a longer block.
+BLOCK_CHARS = 1 << 20
+
+BLOCKS = "conv_id long, block int, last boolean, text string, loss array<struct<start:int,end:int>>, attachments array<struct<ordinal:int,type:string,ref:string,tokens:int>>"
+
+
+def _order() -> list[Column]:
+    """How turns are ordered; ties by what the segment holds, undone."""
     inner = F.expr("substring(segment, 9, length(segment) - 16)")
-    at = formatted.withColumn("__in", inner).withColumn("__cut", F.instr("__in", "\n"))
-    masked = F.expr("substring(segment, loss_start + 1, loss_end - loss_start)")
-    return at.withColumns({"role": _role_in(F.expr("substring(__in, 1, __cut - 1)")), "text": unescape(F.expr("substring(__in, __cut + 1)")), "loss_text": F.when(F.col("loss_end") > F.col("loss_start"), unescape(masked))}).drop("__in", "__cut")
+    cut = F.instr(inner, "\n")
+    return [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), _role_in(F.substr(inner, F.lit(1), cut - 1)), unescape(F.substr(inner, cut + 1, F.length(inner)))]
+
+
+def write_conversations(formatted: DataFrame, path: str) -> None:
+    """Join turns (as format_turns gives them) to conversations, in BLOCKS, and write them.
+
+    The turns of a conversation stream through one task in order; only the block at hand is held.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, n, size, at = None, 0, 0, 0
+        text, loss, files, out = [], [], [], []
+
+        def close(last):
+            nonlocal text, loss, files, size
+            out.append((now[0], n, last, "".join(text), loss, files))
+            text, loss, files, size = [], [], [], 0
+
+        def flush():
+            cols = list(zip(*out))
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("ordinal", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["conv_id", "block", "last", "text", "loss", "attachments"])
+
+        held = 0
+        for b in batches:
+            for conv, segment, start, end, own in zip(*(c.to_pylist() for c in b.columns)):
+                if now is None or now[0] != conv:
+                    if now is not None:
+                        close(True)
+                    now, n, at = (conv,), 0, 0
+                elif size + len(segment) > BLOCK_CHARS:
+                    close(False)
+                    n += 1
+                if end > start:
+                    loss.append({"start": size + start, "end": size + end})
+                for a in own or ():
+                    files.append(a | {"ordinal": at})
+                    at += 1
+                text.append(segment)
+                size += len(segment)
+                held += len(segment)
+                if held > BLOCK_CHARS and out:
+                    yield flush()
+                    out.clear()
+                    held = 0
+        if now is not None:
+            close(True)
+        if out:
+            yield flush()
+
+    rows = formatted.select("conv_id", "turn", "segment", "loss_start", "loss_end", "attachments")
+    rows = rows.repartition(F.col("conv_id")).sortWithinPartitions(*_order()).select("conv_id", "segment", "loss_start", "loss_end", "attachments")
+    map_batches(rows, run, BLOCKS).write.parquet(path)
+
+
+def read_conversations(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BLOCKS).parquet(path)
+
+
+_ESCAPED = re.compile(r"([<\[])(\\*)\\(" + "|".join(re.escape(c[1:]) for c in CONTROL) + ")")
+_PLACEHOLDER = re.compile("|".join(re.escape(f"<|{kind}|>") for kind in DEFAULT_TOKENS))
+
+
+def undo(text: str) -> str:
+    """An escaped text as it was."""
+    return _ESCAPED.sub(r"\1\2\3", text) if "\\" in text else text
+
+
+def parse_block(text: str) -> list[tuple[str, str, list[str]]]:
+    """(role, text, kinds of its attachments in order) of each turn of a block, found by the marks alone.
+
+    A text keeps the placeholders where attachments stand. Raises ValueError where the marks are not in order.
+    """
+    if not text:
+        return []
+    out = []
+    first, *turns = text.split("<|turn|>")
+    for t in turns:
+        role, cut, body = t.partition("\n")
+        if first or not cut or not body.endswith("<|end|>\n") or body.count("<|end|>") > 1:
+            raise ValueError("the marks of a conversation are not in order")
+        for a, b in reversed(_ROLE_CODES):
+            role = role.replace(b, a)
+        body = body[:-8]
+        out.append((role, undo(body), [m[0][2:-2] for m in _PLACEHOLDER.finditer(body)]))
+    if not turns:
+        raise ValueError("a conversation has no turn mark")
+    return out
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def digest(formatted: DataFrame) -> DataFrame:
-    """What a reader of the formatted conversations gets, one row per conversation.
+def digest(blocks: DataFrame) -> DataFrame:
+    """What a reader of the written conversations gets, one row per conversation.
 
-    The turns of a conversation stream through one task in order, a batch at a time; only running digests are held.
+    A conversation of one block is read where it lies; only blocks of longer ones move, to be read in order. Running
+    digests are all that is held of a conversation.
     """
 
     def run(batches):
@@ -131,10 +232,12 @@ def digest(formatted: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
+        from larkspur.llm.chat import parse_block, undo
+
         now, state, out = None, None, []
 
         def close():
-            n, turns, chars, loss, total = state
+            n, turns, chars, loss, total, _ = state
             out.append((now[0], n, turns.hexdigest(), chars, loss.hexdigest(), total))
 
         def flush():
@@ -142,17 +245,22 @@ def digest(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
         for b in batches:
-            for conv, role, text, loss, chars in zip(*(c.to_pylist() for c in b.columns)):
-                if now is None or now[0] != conv:
+            for conv, block, text, loss, files in zip(*(c.to_pylist() for c in b.columns)):
+                if block == 0:
                     if now is not None:
                         close()
-                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if loss is not None:
-                    state[2] += len(loss)
-                    state[3].update(loss.encode())
-                state[4] += chars
+                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                for role, own, kinds in parse_block(text):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{own}\n".encode())
+                    if kinds != [a["type"] for a in files[: len(kinds)]]:
+                        raise ValueError(f"attachments of conversation {conv} do not fit its placeholders")
+                    files = files[len(kinds) :]
+                for x in loss:
+                    own = undo(text[x["start"] : x["end"]])
+                    state[2] += len(own)
+                    state[3].update(own.encode())
+                state[4] += len(text)
             if len(out) >= 10_000:
                 yield flush()
                 out.clear()
@@ -161,6 +269,7 @@ def digest(formatted: DataFrame) -> DataFrame:
         if out:
             yield flush()
 
-    rows = parse_segments(formatted).select("conv_id", "turn", "role", "text", "loss_text", F.length("segment").cast("long").alias("chars"))
-    rows = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
-    return rows.mapInArrow(run, DIGEST)
+    cols = ["conv_id", "block", "text", "loss", "attachments"]
+    whole = F.col("last") & (F.col("block") == 0)
+    long = blocks.where(~whole).repartition(F.col("conv_id")).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "block").select(cols)
+    return map_batches(blocks.where(whole).select(cols), run, DIGEST).union(map_batches(long, run, DIGEST))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import chat, decontaminate, embeddings, html_text, language, minhash, packing, store, toxicity, url_filter
-from larkspur.llm.runtime import materialize, scratch, small_batches
+from larkspur.llm.runtime import scratch, small_batches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -126,23 +126,44 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, labels)
 
 
-ORACLES["op10_url_filters"] = """
+_SECOND = url_filter._SECOND
+
+
+def _strength_sql(name: str, source: str, group: str) -> str:
+    """The strength of a level's prior, as url_filter.strength has it."""
+    return f"""{name} AS (SELECT CASE WHEN sum(f) > 0 THEN CASE WHEN sum(e) > 0 THEN greatest(1.0, least(1000.0, (sum(f) - sum(e)) / sum(e))) ELSE 1000.0 END ELSE 20.0 END AS {name} FROM (
+  SELECT a - b * b / n - b / n * (1 - b / n) * (k - 1) AS e, b / n * (1 - b / n) * (n - q / n - (k - 1)) AS f FROM (
+    SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS b, sum(n::DOUBLE * n) AS q, sum(bad::DOUBLE * bad / n) AS a FROM {source} WHERE n > 0 {group})))"""
+
+
+def _side_sql(sign: str) -> str:
+    x = f"(ln(0.2 / 0.8) {sign} j * step)"
+    return f"list_sum([CASE WHEN j = 0 OR j = {url_filter.STEPS} THEN 1.0::DOUBLE WHEN j % 2 = 1 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END * exp(a * {x} - (a + b) * (greatest({x}, 0) + ln(1 + exp(-abs({x})))) - top) for j in range(0, {url_filter.STEPS + 1})])"
+
+
+ORACLES["op10_url_filters"] = f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-d AS (SELECT *, list_extract(string_split(host, '.'), -1) AS suf, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS dom FROM p),
 l AS (SELECT doc_id AS page_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels WHERE doc_id IS NOT NULL AND greatest(toxic, 1 - quality) IS NOT NULL GROUP BY 1),
-h AS (SELECT host, any_value(dom) AS dom, any_value(suf) AS suf, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM d LEFT JOIN l USING (page_id) GROUP BY host),
-t AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m FROM h),
-s AS (SELECT suf, (sum(bad) + 20.0 * (SELECT m FROM t)) / (sum(n) + 20.0) AS sm FROM h GROUP BY suf),
-o AS (SELECT dom, (sum(bad) + 20.0 * any_value(sm)) / (sum(n) + 20.0) AS dm FROM h JOIN s USING (suf) GROUP BY dom),
-ab AS (SELECT host, n, h.bad + 20.0 * dm AS a, n - h.bad + 20.0 * (1 - dm) AS b FROM h JOIN o USING (dom)),
-r AS (SELECT host, n, a / (a + b) - 2.0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM ab),
-x AS (SELECT d.page_id, d.host, d.path, r.lower, r.n, CASE
+h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad, CASE WHEN regexp_matches(host, '{_SECOND}') THEN 2 ELSE 1 END AS labels FROM p LEFT JOIN l USING (page_id) GROUP BY host),
+h AS (SELECT host, n, bad, array_to_string(list_slice(string_split(host, '.'), -labels - 1, -1), '.') AS dom, array_to_string(list_slice(string_split(host, '.'), -labels, -1), '.') AS suf FROM h0),
+d AS (SELECT dom, suf, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY dom, suf),
+s AS (SELECT suf, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suf),
+t AS (SELECT sum(n) AS tn, sum(bad) AS tb FROM s),
+{_strength_sql('k1', 's', '')}, {_strength_sql('k2', 'd', 'GROUP BY suf')}, {_strength_sql('k3', 'h', 'GROUP BY dom, suf')},
+s1 AS (SELECT suf, n AS sn, bad AS sb, (tb - bad + 1) / (tn - n + 2) AS sm, tn, k1, k2, k3 FROM s, t, k1, k2, k3),
+d1 AS (SELECT dom, suf, n AS dn, bad AS db, (sb - bad + k1 * sm) / (sn - n + k1) AS dm, tn, k2, k3 FROM d JOIN s1 USING (suf)),
+m AS (SELECT host, n, bad, (db - bad + k2 * dm) / (dn - n + k2) AS hm, tn, k3 FROM h JOIN d1 USING (dom, suf)),
+ab AS (SELECT host, n, tn, (bad + k3 * hm + 0.5)::DOUBLE AS a, (n - bad + k3 * (1 - hm) + 0.5)::DOUBLE AS b FROM m),
+w AS (SELECT *, sqrt(1 / a + 1 / b) / 8 AS step, a * ln(a / b) - (a + b) * (greatest(ln(a / b), 0) + ln(1 + exp(-abs(ln(a / b))))) AS top FROM ab),
+z AS (SELECT host, n, tn, a, b, {_side_sql('+')} AS above, {_side_sql('-')} AS below FROM w),
+r AS (SELECT host, n, CASE WHEN tn > 0 THEN CASE WHEN above + below > 0 THEN above / (above + below) WHEN ln(a / b) > ln(0.2 / 0.8) THEN 1 ELSE 0 END ELSE 0 END AS risk FROM z),
+x AS (SELECT p.page_id, p.host, p.path, r.risk, r.n, CASE
   WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM d LEFT JOIN r USING (host))
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN coalesce(lower, 0) > 0.2 THEN 'block' ELSE 'allow' END AS verdict, rule IS NOT NULL AS by_rule, CAST(coalesce(n, 0) AS BIGINT) AS host_labelled FROM x
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p LEFT JOIN r USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN risk >= 0.975 THEN 'block' ELSE 'allow' END AS verdict, rule IS NOT NULL AS by_rule, CAST(n AS BIGINT) AS host_labelled FROM x
 """
 
 
@@ -151,7 +172,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return chat.digest(materialize(chat.format_turns(turns.unionByName(extra)), "chat"))
+    path = scratch(spark, "chat")
+    chat.write_conversations(chat.format_turns(turns.unionByName(extra)), path)
+    return chat.digest(chat.read_conversations(spark, path))
 
 
 ORACLES["op7_chat_format"] = """

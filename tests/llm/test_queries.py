@@ -1,5 +1,6 @@
 """Queries with a contract, against brute force on small tables."""
 
+import math
 import zlib
 
 import numpy as np
@@ -51,6 +52,7 @@ URLS = {
 @pytest.mark.parametrize("most", [10_000, 1])
 def test_rules(spark, monkeypatch, most):
     monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+    monkeypatch.setattr(url_filter, "BROADCAST_HOSTS", most)
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(0, "http://a.NET/x", "x"), (None, "http://q.org/", "x")], "page_id long, url string, host string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     labels = spark.createDataFrame([], "page_id long, bad int")
@@ -72,3 +74,52 @@ def test_reputation_shrinks(spark):
     assert {got[i]["verdict"] for i in range(60)} == {"block"} and {got[i]["verdict"] for i in range(60, 120)} == {"allow"}
     assert got[121]["verdict"] == "allow"  # one bad page proves little
     assert got[120]["host_labelled"] == 0
+
+
+def test_tail_of_the_posterior(spark):
+    """Against sums of binomial terms (whole parameters) and a fine integral."""
+    def exact(a, b, x):
+        return sum(math.comb(a + b - 1, j) * x**j * (1 - x) ** (a + b - 1 - j) for j in range(a))  # share above x
+
+    def fine(a, b, x):
+        y = np.linspace(0, 1, 2_000_001)[1:-1] ** 2  # dense near 0
+        f = (a - 1) * np.log(y) + (b - 1) * np.log1p(-y)
+        f = np.exp(f - f.max())
+        area = np.concatenate([[0], np.cumsum((f[1:] + f[:-1]) / 2 * np.diff(y))])
+        return 1 - np.interp(x, y, area) / area[-1]
+
+    whole = [(a, b, x) for a in (1, 2, 7, 40) for b in (1, 3, 60) for x in (0.05, 0.2, 0.9)]
+    odd = [(0.9, 20.5, 0.2), (2.5, 3.7, 0.2), (0.7, 1.2, 0.6), (900.5, 4000.5, 0.2), (5000.5, 10.5, 0.2), (0.5, 9000.5, 0.2)]
+    for x in {w[2] for w in whole + odd}:
+        own = [(float(a), float(b)) for a, b, y in whole + odd if y == x]
+        df = spark.createDataFrame(own, "a double, b double")
+        got = {(r["a"], r["b"]): r["p"] for r in df.select("a", "b", url_filter.tail(df["a"], df["b"], x).alias("p")).collect()}
+        for a, b in own:
+            assert abs(got[a, b] - (exact(int(a), int(b), x) if (a, b, x) in [(float(p), float(q), y) for p, q, y in whole] else fine(a, b, x))) < 2e-4, (a, b, x)
+
+
+def test_strength_follows_the_variation_of_hosts(spark):
+    rng = np.random.default_rng(3)
+    for k in (4.0, 60.0):
+        p = rng.beta(k * 0.3, k * 0.7, 3000)
+        df = spark.createDataFrame([(f"d{i % 5}", 40, int(rng.binomial(40, q))) for i, q in enumerate(p.tolist())], "dom string, n long, bad long")
+        got = url_filter.strength(df, ["dom"], "k").first()["k"]
+        assert 0.8 * k < got < 1.25 * k
+    assert url_filter.strength(df.limit(0), ["dom"], "k").first()["k"] == url_filter.STRENGTH
+    assert url_filter.strength(df.withColumn("bad", df["n"] * 0 + 12), ["dom"], "k").first()["k"] == url_filter.MOST_STRENGTH
+
+
+def test_public_suffixes(spark):
+    hosts = ["a.b.co.uk", "co.uk", "x.com.au", "a.example.com", "com", "", "co.com", "h"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = [(r["d"], r["s"]) for r in df.select(url_filter.registered_domain(df["host"]).alias("d"), url_filter.suffix(df["host"]).alias("s")).collect()]
+    assert got == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("x.com.au", "com.au"), ("example.com", "com"), ("com", "com"), ("", ""), ("co.com", "com"), ("h", "h")]
+
+
+def test_one_hosts_own_pages_do_not_make_its_prior(spark):
+    """A large bad host next to a small good one: the small one is judged by others."""
+    urls = [f"http://big.site.com/{i}" for i in range(400)] + [f"http://h{j}.other{j % 9}.com/{i}" for j in range(60) for i in range(5)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = [(i, int(i < 400)) for i in range(len(urls))]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, spark.createDataFrame([], "host string, path string, verdict string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert {got[i] for i in range(400)} == {"block"} and {got[i] for i in range(400, len(urls))} == {"allow"}
