@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.runtime import ascii_lower, forget, map_batches, materialize, sampled_texts, sliced
+from larkspur.llm.url_filter import registered_domain, suffix
 
 #: Training documents of each language (those with the smallest hash of their id); and of how many languages the driver
 #: holds the texts at a time.
@@ -194,7 +195,7 @@ def identify(rows: DataFrame, model: TextModel, prior_rows: float = PRIOR_ROWS)
     base = base.withColumn("host", F.when(F.trim("host") != "", ascii_lower(F.col("host"))))
     base = base.withColumn("said", F.regexp_extract(ascii_lower(F.coalesce("declared", F.lit(""))), r"^\s*([a-z]+)", 1))
     seen = base.where("counts and host is not null").groupBy("host").agg(F.count("*").alias("n"), *_sums("post", n))
-    seen = seen.withColumn("dom", F.substring_index("host", ".", -2)).withColumn("suf", F.substring_index("host", ".", -1))
+    seen = seen.withColumn("dom", registered_domain(F.col("host"))).withColumn("suf", suffix(F.col("host")))
     up = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(n)])
     dom = up(seen, "dom", "suf")
     suf = up(dom, "suf")
@@ -202,8 +203,8 @@ def identify(rows: DataFrame, model: TextModel, prior_rows: float = PRIOR_ROWS)
     shrink = lambda parent: [((F.col(f"s{k}") + prior_rows * F.col(parent)[k]) / (F.col("n") + prior_rows)) for k in range(n)]
     top = top.select(F.array(*[(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + 1.0) / (F.coalesce(F.col("n"), F.lit(0)) + float(n)) for k in range(n)]).alias("tm"))
     suf = suf.crossJoin(F.broadcast(top)).select("suf", F.array(*shrink("tm")).alias("sm"))
-    dom = dom.join(suf, "suf").select("dom", F.array(*shrink("sm")).alias("dm"))
-    hosts = seen.join(dom, "dom").select("host", F.col("n").alias("hn"), _list(n).alias("hs"), "dm")
+    dom = dom.join(suf, "suf").select("dom", "suf", F.array(*shrink("sm")).alias("dm"))
+    hosts = seen.join(dom, ["dom", "suf"]).select("host", F.col("n").alias("hn"), _list(n).alias("hs"), "dm")
     # how often each language is declared, by the text's posterior: one small row for each declared name that is a language
     said = base.where(F.col("counts") & F.col("said").isin(*names)).groupBy("said").agg(*_sums("post", n))
     of = {r["said"]: [r[f"s{k}"] for k in range(n)] for r in said.collect()}
@@ -236,5 +237,7 @@ def identify(rows: DataFrame, model: TextModel, prior_rows: float = PRIOR_ROWS)
             alone = np.where(counts, label[post.argmax(1)], None)
             yield pa.RecordBatch.from_arrays([c["doc_id"], pa.array(lang, pa.string()), pa.array(top_p), pa.array(ok), pa.array(alone, pa.string())], names=["doc_id", "lang", "confidence", "accepted", "text_lang"])
 
+    # rows without a host find none: keys of their own spread them, and Spark splits a host with very many rows
+    base = base.withColumn("host", F.coalesce("host", F.concat(F.lit("\0"), F.pmod(F.xxhash64("doc_id", "logs"), F.lit(1 << 20)).cast("string"))))
     joined = base.join(hosts, "host", "left").select("doc_id", "logs", "post", "counts", "fits", "said", "hn", "hs", "dm")
     return map_batches(joined, decide, "doc_id long, lang string, confidence double, accepted boolean, text_lang string")
