@@ -1,5 +1,6 @@
 import random
 
+import naive
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +70,16 @@ def test_a_language_of_long_texts_only_has_a_model(spark):
     assert model.names == ["de", "en", "fr"]
     got = {r["doc_id"]: (r["lang"], r["accepted"]) for r in L.identify(df, model).collect()}
     assert all(got[r[0]] == (r[2], True) for r in rows)
+
+
+def test_against_a_plain_version(spark):
+    rng = random.Random(12)
+    rows = corpus(90, 12)
+    odd = [(500, None, None, "en", "h1.en.example.en"), (501, "12 34", None, None, "h1.en.example.en"), (502, text(rng, "fr", 4) + " " + text(rng, "en", 4), None, "DE-at", "New.example.en"), (503, "qqzz xxqj", None, "fr", None), (504, text(rng, "de", 3), None, "xx", "  "), (505, text(rng, "de", 3), None, " en", "H0.fr.example.FR"), (0, *rows[0][1:])]
+    df = spark.createDataFrame(rows + odd, SCHEMA).withColumn("fits", F.lit(1)).withColumn("n", F.lit("x")).repartition(3)
+    got = sorted(((r["doc_id"], r["lang"], r["confidence"], r["accepted"]) for r in L.identify(df, L.fit(df.where("doc_id % 2 = 0 and doc_id < 400"))).collect()), key=lambda r: r[:2])
+    # the repeated row stands twice in the sample's table, once in the sample
+    want = naive.languages([(t, x) for i, t, x, _, _ in rows if i % 2 == 0], [(t, d, h) for _, t, _, d, h in rows + odd])
+    want = sorted(((r[0], *w) for r, w in zip(rows + odd, want)), key=lambda r: r[:2])
+    assert [(a[0], a[1], a[3]) for a in got] == [(b[0], b[1], b[3]) for b in want]
+    assert max(abs(a[2] - b[2]) for a, b in zip(got, want)) < 1e-5

@@ -1,12 +1,14 @@
 import random
 
+import naive
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from larkspur.llm import runtime
+from larkspur.llm import runtime, toxicity
 
-pytest.importorskip("public_tokenizers")
+P = pytest.importorskip("public_tokenizers")
+tokenizers = pytest.importorskip("tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -71,3 +73,37 @@ def test_without_ids(spark, monkeypatch):
     monkeypatch.setattr(runtime, "FILTER_BITS_EACH", 0)
     monkeypatch.setattr(runtime, "FILTER_HASHES", 1)
     assert ids(runtime.without_ids(docs, dropped)) == sorted(want, key=str)
+
+
+def test_every_stage_against_a_plain_version(spark, tables):
+    """What run() keeps and packs, stage by stage, from the rows that the plain version of the stage before kept."""
+    d, rows = tables
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    kept = [r for r in rows if naive.toxicity(model.p, r[1]) < 0.5]
+    once = {i: [t for j, t, _, _, _ in kept if j == i] for i, *_ in kept}
+    train = [(naive.sampled(t), x) for i, t, x, _, _ in kept if t and x and i is not None and len(once[i]) == 1]  # of a repeated id one row stands in the sample
+    assert len(train) < 600
+    judged = naive.languages(train, [(t, None, s) for _, t, _, s, _ in kept])
+    any_row: dict = {}
+    for r, (_, _, ok) in zip(kept, judged):
+        any_row[r[0]] = any_row.get(r[0], False) or ok
+    kept = [r for r in kept if r[0] is None or any_row[r[0]]]
+    single = {r[0]: r[1] for r in kept if r[0] is not None and sum(x[0] == r[0] for x in kept) == 1}
+    comp = naive.components(single, 5, 80)
+    doubled = {r[0] for r in kept} - set(single)
+    kept = [r for r in kept if r[0] in doubled or comp[r[0]] == r[0]]
+    bench = [r["text"] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    kept = [r for r in kept if not naive.has_window(r[1], bench, 10)]
+    tok = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got: dict = {}
+    for r in C.run(spark, d).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert set(got) == {r[0] for r in kept}
+    for i, own in got.items():
+        own.sort(key=lambda r: r["start"])
+        texts = [r[1] for r in kept if r[0] == i]
+        wants = [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+        assert any([(r["start"], naive.crc(w[r["start"] : r["start"] + r["length"]])) for r in own] == [(r["start"], r["ids_crc32"]) for r in own] and sum(r["length"] for r in own) == len(w) for w in wants)
+        assert all(r["length"] & (r["length"] - 1) == 0 and r["length"] <= 2048 and r["offset"] == 0 for r in own)
+    assert len({r["sequence_id"] for own in got.values() for r in own}) == sum(map(len, got.values()))

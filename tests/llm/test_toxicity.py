@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import naive
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -75,3 +76,51 @@ def test_a_class_of_long_texts_only_is_learned(spark):
     model = T.fit(docs, labels, toxic_docs=60, clean_docs=100, max_chars=400)
     got = {r["doc_id"]: r["predicted"] for r in T.score(docs, model).collect()}
     assert np.mean([got[i] == y for i, _, y in rows]) > 0.95
+
+
+def auc(score, y):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(order))
+    for v in np.unique(score):
+        same = np.flatnonzero(score[order] == v)
+        rank[order[same]] = same.mean() + 1
+    return (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+
+
+def test_scores_against_a_plain_version(spark):
+    model = T.Model(3)
+    rng = random.Random(8)
+    texts = [None, "", "!?", "a", "One two THREE", "été über 漢字 x9", *[" ".join(rng.choices(["alpha", "Beta", "g", "delta", "zz9", "été"], k=n)) for n in (31, 32, 33, 48, 49, 150)]]
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)] + [(3, "a", 2.0), (None, "One two THREE", 3.0)], "doc_id long, text string, score double").repartition(2)
+    got = T.score(docs, model).collect()
+    assert len(got) == len(texts) + 2 and sum(r["doc_id"] == 3 for r in got) == 2
+    for r in got:
+        want = naive.toxicity(model.p, texts[r["doc_id"]] if r["doc_id"] is not None else texts[4])
+        assert abs(r["score"] - want) < 1e-4 and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_the_network_does_what_word_counts_cannot():
+    """Texts are toxic where two words meet in one order; each word alone is as frequent in clean ones."""
+    rng = random.Random(2)
+    plain = ["".join(rng.choices("bdfgklmnprst", k=5)) for _ in range(60)]
+    texts, y = [], []
+    for i in range(900):
+        words = rng.choices(plain, k=rng.randint(20, 60))
+        pair = ["crowz", "mothz"] if i % 2 else ["mothz", "crowz"]
+        at = rng.randrange(len(words))
+        words[at:at] = pair
+        texts.append(" ".join(words))
+        y.append(i % 2)
+    y = np.array(y, float)
+    model = T.train(pa.array(texts[:700]), y[:700])
+    words, codes, before = T.words_of(pa.array(texts[700:]))
+    vec = model.inputs(T.Vocabulary(words))
+    start, size, of = T.windows(before)
+    score = np.zeros(200)
+    np.maximum.at(score, of, model.scores(vec, codes, start, size))
+    fresh = T.Model()
+    train_words, train_codes, train_before = T.words_of(pa.array(texts[:700]))
+    T._evidence(fresh, T.Vocabulary(train_words), train_codes, train_before, y[:700], np.ones(700, bool))
+    odds = fresh.inputs(T.Vocabulary(words))[:, [0, T.DIM]].max(1)[codes]
+    start_only = np.array([odds[a:b].max() for a, b in zip(before[:-1], before[1:])])
+    assert auc(score, y[700:]) > 0.9 > 0.65 > auc(start_only, y[700:])
