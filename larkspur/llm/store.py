@@ -2,7 +2,9 @@
 
 A rolling hash over the ids cuts each document where its content says so, so copies and near copies share chunks.
 A chunk's address is the BLAKE2b-128 digest of its ids; each address is stored once. A document's recipe lists its
-chunks; a Merkle manifest (recipe hash, root of each recipe file, root of the store) makes every part verifiable.
+chunks and their lengths; its leaf is a hash of both. A Merkle manifest (leaf with id, place and size; root of each
+recipe file; root of the store) makes every part verifiable, and reading verifies: chunks against their addresses,
+leaves against the recipes, roots against the stored manifest.
 
 Layout below the store's path, all Parquet so that any file system that Spark knows will do:
   packed/kind=0   digest, n, data (ids, little-endian, 2 bytes where the vocabulary allows, else 4): unique chunks
@@ -20,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.runtime import sliced
+from larkspur.llm.runtime import map_batches, sliced
 from larkspur.llm.tokens import tokenizer_json
 
 MIN_CHUNK, MAX_CHUNK, MEAN_BITS, WINDOW = 64, 2048, 8, 16
+#: Addresses that a task remembers; what it forgets goes to the shuffle again and is dropped there.
+TASK_CHUNKS = 200_000
 PACKED = "kind int, key binary, doc_id long, n long, lens binary, data binary"
 
 
@@ -77,11 +81,13 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
         import numpy as np
         import pyarrow as pa
 
-        from larkspur.llm.store import chunk_ends
+        from larkspur.llm.store import chunk_ends, leaf_of
         from larkspur.llm.tokens import encode
 
         seen = set()
         for b in sliced(batches):
+            if len(seen) > TASK_CHUNKS:
+                seen.clear()
             ids, n = encode(b.column(1), js, end_id)
             doc_ends = np.cumsum(n)
             ends = chunk_ends(ids, doc_ends)
@@ -111,28 +117,28 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
             l4 = lens.astype("<u4")
             recipes = [(b"".join(digests[x:y]), l4[x:y].tobytes()) for x, y in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * len(recipes), pa.int32()), pa.array([hashlib.blake2b(r[0], digest_size=16).digest() for r in recipes], pa.binary()), b.column(0), pa.array(n, pa.int64()), pa.array([r[1] for r in recipes], pa.binary()), pa.array([r[0] for r in recipes], pa.binary())],
+                [pa.array([1] * len(recipes), pa.int32()), pa.array([leaf_of(*r) for r in recipes], pa.binary()), b.column(0), pa.array(n, pa.int64()), pa.array([r[1] for r in recipes], pa.binary()), pa.array([r[0] for r in recipes], pa.binary())],
                 names=["kind", "key", "doc_id", "n", "lens", "data"],
             )
 
-    def keep_once(batches):
+    def keep_once(batches):  # equal addresses are neighbours
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        seen = set()
+        last = None
         for b in batches:
-            keys, kinds = b.column(1).to_pylist(), b.column(0).to_pylist()
-            keep = []
-            for k, kind in zip(keys, kinds):
-                keep.append(kind == 1 or k not in seen)
-                if kind == 0:
-                    seen.add(k)
-            yield b.filter(pa.array(keep))
-
-    encoded = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode_docs, PACKED)
+            if not b.num_rows:
+                continue
+            keys = b.column(1)
+            new = pa.concat_arrays([pa.array([keys[0].as_py() != last]), pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1))])
+            last = keys[-1].as_py()
+            yield b.filter(pc.or_(new, pc.equal(b.column(0), 1)))
+
+    encoded = map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), encode_docs, PACKED)
     # equal addresses meet by their hash; a recipe's key differs from row to row, repeated documents are salted apart
     salt = F.when(F.col("kind") == 1, F.xxhash64("doc_id")).otherwise(F.xxhash64("key"))
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded.repartition(parts, salt).mapInArrow(keep_once, PACKED).write.partitionBy("kind").parquet(f"{path}/packed")
+    dealt = (encoded.repartition(partitions, salt) if partitions else encoded.repartition(salt)).sortWithinPartitions("kind", "key")
+    map_batches(dealt, keep_once, PACKED).write.partitionBy("kind").parquet(f"{path}/packed")
     packed = spark.read.schema("key binary, doc_id long, n long, lens binary, data binary, kind int").parquet(f"{path}/packed")
     recipes = packed.where("kind = 1").select("doc_id", F.col("n").alias("n_tokens"), "lens", F.col("data").alias("digests"), F.col("key").alias("leaf"))
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "leaf").withColumn("part", F.spark_partition_id())
@@ -159,24 +165,47 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     return packed.where("kind = 0").select(F.col("key").alias("digest"), "n", "data")
 
 
+def leaf_of(digests: bytes, lens: bytes) -> bytes:
+    """Hash of a recipe: its chunks' addresses and lengths."""
+    import hashlib
+
+    return hashlib.blake2b(len(digests).to_bytes(8, "little") + digests + lens, digest_size=16).digest()
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """part, n_docs, n_tokens, root: a Merkle root over the recipe hashes of each file, in document order. `store_root` combines them."""
+    """part, n_docs, n_tokens, root: a Merkle root over the recipes of each file, in document order. `store_root` combines them.
 
-    def fold(batches):
+    Leaves are computed anew from the recipes; one that differs from the stored leaf raises an error.
+    """
+
+    def hashed(batches):
         import hashlib
 
         import pyarrow as pa
 
+        from larkspur.llm.store import leaf_of
+
+        for b in batches:
+            node = []
+            for doc_id, start, n, digests, lens, leaf in zip(*(b.column(k).to_pylist() for k in range(1, 7))):
+                if leaf_of(digests, lens) != leaf:
+                    raise ValueError(f"the recipe of document {doc_id} at {start} is damaged")
+                node.append(hashlib.blake2b(leaf + f"{doc_id}:{start}:{n}".encode(), digest_size=32).digest())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(6), pa.array(node, pa.binary())], names=["part", "doc_id", "start", "n_tokens", "leaf", "node"])
+
+    def fold(batches):
+        import pyarrow as pa
+
         from larkspur.llm.store import MerkleRange
 
         now, tree, docs, tokens, out = None, None, 0, 0, []
         for b in batches:
-            for part, doc_id, start, n, leaf in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for part, n, node in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(5).to_pylist()):
                 if part != now:
                     if tree is not None:
                         out.append((now, docs, tokens, tree.root()))
                     now, tree, docs, tokens = part, MerkleRange(), 0, 0
-                tree.add(hashlib.blake2b(leaf + f"{doc_id}:{start}:{n}".encode(), digest_size=32).digest())
+                tree.add(node)
                 docs += 1
                 tokens += n
         if tree is not None:
@@ -184,9 +213,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
         cols = list(zip(*out)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "n_docs", "n_tokens", "root"])
 
-    rows = recipes(spark, path).select("part", "doc_id", "start", "n_tokens", "leaf")
+    rows = map_batches(recipes(spark, path).select("part", "doc_id", "start", "n_tokens", "digests", "lens", "leaf"), hashed, "part int, doc_id long, start long, n_tokens long, leaf binary, node binary")
     rows = rows.repartition(F.col("part")).sortWithinPartitions("part", "start", F.col("doc_id").asc_nulls_first(), "leaf")
-    return rows.mapInArrow(fold, "part int, n_docs long, n_tokens long, root binary")
+    return map_batches(rows, fold, "part int, n_docs long, n_tokens long, root binary")
 
 
 class MerkleRange:
@@ -220,10 +249,28 @@ def store_root(spark: SparkSession, path: str) -> bytes:
     return tree.root()
 
 
+MANIFEST = "part int, n_docs long, n_tokens long, root binary"
+
+
 def verify(spark: SparkSession, path: str) -> DataFrame:
-    """Recipe files whose stored root differs from that of their recipes; empty if the store is whole."""
-    stored = spark.read.parquet(f"{path}/manifest").select("part", F.col("root").alias("stored"))
-    return manifest(spark, path).join(stored, "part", "full").where(~F.col("root").eqNullSafe(F.col("stored")))
+    """part, stored: recipe files that the manifest lacks or has too many, or whose number of documents, of ids or whose root differs; empty if all recipes are whole."""
+    fields = ["n_docs", "n_tokens", "root"]
+    stored = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", *[F.col(c).alias(f"s_{c}") for c in fields])
+    same = F.lit(True)
+    for c in fields:
+        same = same & F.col(c).eqNullSafe(F.col(f"s_{c}"))
+    return manifest(spark, path).join(stored, "part", "full").where(~same).select("part", F.col("s_root").alias("stored"))
+
+
+class Damaged(ValueError):
+    """The store is not what was written."""
+
+
+def check(spark: SparkSession, path: str) -> None:
+    """Raise Damaged if a recipe or the manifest is."""
+    bad = verify(spark, path).first()
+    if bad is not None:
+        raise Damaged(f"recipe file {bad['part']} differs from the manifest")
 
 
 PLACES = "doc_id long, start long, n_tokens long, seq int, digest binary, n long, after long"
@@ -252,7 +299,7 @@ def places(recs: DataFrame) -> DataFrame:
                 [b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array((np.arange(len(flat)) - first[who]).astype(np.int32)), payload, pa.array(flat), pa.array(ends[who] - run)], names=["doc_id", "start", "n_tokens", "seq", "digest", "n", "after"]
             )
 
-    return recs.select("doc_id", "start", "n_tokens", "lens", "digests").mapInArrow(unroll, PLACES)
+    return map_batches(recs.select("doc_id", "start", "n_tokens", "lens", "digests"), unroll, PLACES)
 
 
 def checked(chunk_rows: DataFrame) -> DataFrame:
@@ -269,12 +316,12 @@ def checked(chunk_rows: DataFrame) -> DataFrame:
             crc = []
             for d, n, x in zip(*(c.to_pylist() for c in b.columns)):
                 wide = len(x) == 4 * n
-                if hashlib.blake2b(x, digest_size=16, person=b"ids4" if wide else b"ids2").digest() != d:
+                if len(x) not in (2 * n, 4 * n) or hashlib.blake2b(x, digest_size=16, person=b"ids4" if wide else b"ids2").digest() != d:
                     raise ValueError(f"chunk {d.hex()} is damaged")
                 crc.append(zlib.crc32(x if wide else np.frombuffer(x, "<u2").astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crc, pa.int64())], names=["digest", "n", "crc"])
 
-    return chunk_rows.select("digest", "n", "data").mapInArrow(run, "digest binary, n long, crc long")
+    return map_batches(chunk_rows.select("digest", "n", "data"), run, "digest binary, n long, crc long")
 
 
 def crc_shift(crc, n_bytes):
@@ -305,11 +352,12 @@ def crc_shift(crc, n_bytes):
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32: every stored chunk is read and verified once, then each document's checksum follows from its recipe.
+    """doc_id, start, n_tokens, ids_crc32: the manifest and every stored chunk are verified, then each document's checksum follows from its recipe.
 
-    Checksums of parts combine to that of the whole, so chunk data never move; addresses and lengths do. A chunk that
-    a recipe names and the store lacks raises an error.
+    Checksums of parts combine to that of the whole, so chunk data never move; addresses and lengths do. A damaged
+    chunk, recipe or manifest, a chunk that a recipe names and the store lacks, and a gap between documents raise errors.
     """
+    check(spark, path)
 
     def shift(batches):
         import pyarrow as pa
@@ -321,10 +369,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 moved = crc_shift(b.column(4).to_numpy(), b.column(5).to_numpy() * 4)
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(moved)], names=["doc_id", "start", "n_tokens", "n", "crc"])
 
-    seen = checked(chunks(spark, path)).select("digest", "crc")
+    seen = checked(chunks(spark, path)).select("digest", F.col("n").alias("long"), "crc")
     at = places(recipes(spark, path)).join(seen, "digest", "left")
-    missing = F.when(F.col("crc").isNull(), F.raise_error(F.concat(F.lit("no chunk "), F.hex("digest")))).otherwise(F.col("crc"))
-    moved = at.select("doc_id", "start", "n_tokens", "n", missing.cast("long").alias("crc"), "after").mapInArrow(shift, "doc_id long, start long, n_tokens long, n long, crc long")
+    missing = F.when(F.col("crc").isNull() | (F.col("long") != F.col("n")), F.raise_error(F.concat(F.lit("no chunk "), F.hex("digest")))).otherwise(F.col("crc"))
+    moved = map_batches(at.select("doc_id", "start", "n_tokens", "n", missing.cast("long").alias("crc"), "after"), shift, "doc_id long, start long, n_tokens long, n long, crc long")
     out = moved.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("__n"))
     whole = F.when(F.col("__n") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a recipe is not whole")))
     return out.select("doc_id", "start", "n_tokens", whole.cast("long").alias("ids_crc32"))
@@ -343,4 +391,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             ids = [np.concatenate([np.frombuffer(p["data"], "<u4" if len(p["data"]) == 4 * p["n"] else "<u2").astype(np.int64) for p in parts]) for parts in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
-    return lists.select("doc_id", "start", "parts").mapInArrow(build, "doc_id long, start long, ids array<long>")
+    return map_batches(lists.select("doc_id", "start", "parts"), build, "doc_id long, start long, ids array<long>")

@@ -42,6 +42,55 @@ def test_empty(spark):
     assert store.read_digests(spark, path).count() == 0 and store.read_ids(spark, path).count() == 0
 
 
+def rewritten(spark, path, part, change):
+    """The store with one of its parts changed."""
+    df = spark.read.parquet(f"{path}/{part}")
+    rows = [r.asDict() for r in df.collect()]
+    change(rows)
+    spark.createDataFrame(rows, df.schema).write.mode("overwrite").parquet(f"{path}/{part}-new")
+    other = path + "-other"
+    for name in ("packed", "recipes", "manifest"):
+        spark.read.parquet(f"{path}/{name}-new" if name == part else f"{path}/{name}").write.mode("overwrite").partitionBy(*(["kind"] if name == "packed" else [])).parquet(f"{other}/{name}")
+    return other
+
+
+def flip(key, where=lambda r: True):
+    def change(rows):
+        r = max((r for r in rows if where(r)), key=lambda r: len(r[key]))
+        r[key] = bytes([r[key][0] ^ 1]) + bytes(r[key][1:])
+
+    return change
+
+
+def swap_chunks(rows):
+    r = max(rows, key=lambda r: len(r["digests"]))
+    d = bytes(r["digests"])
+    r["digests"] = d[16:32] + d[:16] + d[32:]
+
+
+def drop_first(rows):
+    del rows[0]
+
+
+@pytest.mark.parametrize(
+    ("part", "change"),
+    [("packed", flip("data", lambda r: r["kind"] == 0)), ("packed", flip("key", lambda r: r["kind"] == 0)), ("recipes", flip("digests")), ("recipes", flip("lens")), ("recipes", flip("leaf")), ("recipes", swap_chunks), ("recipes", drop_first), ("manifest", flip("root")), ("manifest", drop_first)],
+)
+def test_damage_is_noticed(spark, part, change):
+    path = write(spark, [(i, " ".join(f"w{i}x{j * 31 % 977}" for j in range(900)), "") for i in range(4)])
+    assert store.read_digests(spark, path).count() == 4
+    with pytest.raises(Exception, match="damaged|differs|no chunk"):
+        store.read_digests(spark, rewritten(spark, path, part, change)).collect()
+
+
+def test_chunks_are_kept_once_however_little_a_task_remembers(spark, monkeypatch):
+    monkeypatch.setattr(store, "TASK_CHUNKS", 1)
+    text = " ".join(f"w{j * 31 % 977}" for j in range(3000))
+    path = write(spark, [(i, text, "") for i in range(30)])
+    found = store.chunks(spark, path)
+    assert found.count() == found.select("digest").distinct().count() > 3
+
+
 def test_crc_shift():
     a, b = b"some bytes", b"more of them" * 50
     got = store.crc_shift(np.array([zlib.crc32(a)]), np.array([len(b)]))[0] ^ zlib.crc32(b)
