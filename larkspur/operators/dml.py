@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.errors import SqlError
 from larkspur.operators import constraints as K
 from larkspur.plans import ast as A
-from larkspur.plans.emit import quote
+from larkspur.plans.emit import quote, text
 from larkspur.sources.storage import ROW_ID, TableMeta, Version, spark_type
 
 
@@ -242,9 +242,7 @@ def _conflict(session, meta, s, rows, existing, em):
         keep, existing = rows, _taken(session, meta, existing)
         for key in target:  # the first row of each key, if the table has none
             cols = [_c(c) for c in key.columns]
-            full = keep
-            for c in key.columns:
-                full = full.where(_c(c).isNotNull())
+            full = _full(keep, key.columns)
             odd = keep.join(full.select("__ord"), "__ord", "left_anti")
             first = full.withColumn("__n", F.row_number().over(Window.partitionBy(*cols).orderBy("__ord"))).where("__n = 1").drop("__n")
             keep = first.join(existing.select(*cols), key.columns, "left_anti").select(*rows.columns).union(odd.select(*rows.columns))
@@ -255,49 +253,89 @@ def _conflict(session, meta, s, rows, existing, em):
     return _upsert(session, meta, s, rows, existing, target[0], em)
 
 
+def _nodes(x):
+    """All nodes of a syntax tree."""
+    if isinstance(x, list | tuple):
+        for y in x:
+            yield from _nodes(y)
+    elif hasattr(x, "__dataclass_fields__"):
+        yield x
+        for k in x.__dataclass_fields__:
+            yield from _nodes(getattr(x, k))
+
+
+def _assignments(meta, s, em, new: str, old: str, mark: str = "") -> tuple[dict[str, str], str]:
+    """What DO UPDATE sets, and its condition; `new` and `old` are what the input's and the table's row are called."""
+    em.rename = lambda parts: f"{new}.{quote(mark + parts[-1])}" if len(parts) > 1 and parts[-2] == "excluded" else f"{old}.{quote(parts[-1])}"
+    try:
+        sets = {c: _default(meta.column(c), em) if isinstance(e, A.Default) else _cast(em, e, meta.column(c).type) for c, e in s.conflict.sets}
+        return sets, f"({em.e(s.conflict.where)})" if s.conflict.where is not None else "true"
+    finally:
+        em.rename = None
+
+
+def _folded(session, meta, s, rows, state, key, em) -> DataFrame:
+    """The rows that the input leaves, with __touched: how many of its rows each took."""
+    names = [c.name for c in meta.columns]
+    sets, cond = _assignments(meta, s, em, "x", "acc")
+    full = _full(rows, key.columns)
+    groups = session.view(full.groupBy(*map(_c, key.columns)).agg(F.array_sort(F.collect_list(F.struct("__ord", *map(_c, names)))).alias("__in")))
+    record = lambda f, n: f"named_struct({', '.join(f'{text(c)}, {f(c)}' for c in names)}, '__touched', {n})"
+    start = f"if(t.{ROW_ID} IS NULL, {record(lambda c: f'g.__in[0].{quote(c)}', 1)}, {record(lambda c: f't.{quote(c)}', 0)})"
+    step = f"if({cond}, {record(lambda c: sets.get(c, f'acc.{quote(c)}'), 'acc.__touched + 1')}, acc)"
+    on = " AND ".join(f"t.{quote(c)} = g.{quote(c)}" for c in key.columns)
+    folded = session.spark.sql(f"SELECT t.{ROW_ID}, aggregate(if(t.{ROW_ID} IS NULL, slice(g.__in, 2, size(g.__in)), g.__in), {start}, (acc, x) -> {step}) AS f FROM {quote(groups)} g LEFT JOIN {quote(session.view(state))} t ON {on}")
+    out = folded.select(*[F.col("f")[c].alias(c) for c in names], ROW_ID, F.col("f")["__touched"].alias("__touched"))
+    apart = rows.join(full.select("__ord"), "__ord", "left_anti")  # a null in the key conflicts with nothing
+    return out.union(apart.select(*map(_c, names), F.lit(None).cast("long"), F.lit(1)))
+
+
+def _full(rows: DataFrame, columns: list[str]) -> DataFrame:
+    for c in columns:
+        rows = rows.where(_c(c).isNotNull())
+    return rows
+
+
+def _in_rounds(session, meta, s, rows, state, key, em) -> DataFrame:
+    """As _folded, by a join for each repetition of a key."""
+    names = [c.name for c in meta.columns]
+    spark, st = session.spark, session.storage
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*[_c(c) for c in key.columns]).orderBy("__ord")))
+    sets, cond = _assignments(meta, s, em, "x", "t", "__x_")
+    on = " AND ".join(f"t.{quote(c)} = x.{quote('__x_' + c)}" for c in key.columns)
+    hit = f"(x.{quote('__x_' + key.columns[0])} IS NOT NULL)"
+    cells = [f"CASE WHEN {hit} AND {cond} THEN {sets[n]} ELSE t.{quote(n)} END AS {quote(n)}" if n in sets else f"t.{quote(n)}" for n in names]
+    for k in range(1, (rows.agg(F.max("__n")).first()[0] or 0) + 1):
+        new_view = session.view(rows.where(F.col("__n") == k).select(*[_c(n).alias(f"__x_{n}") for n in names]))
+        old_view = session.view(state)
+        updated = spark.sql(f"SELECT {', '.join(cells)}, t.{ROW_ID}, t.__touched + CASE WHEN {hit} AND {cond} THEN 1 ELSE 0 END AS __touched FROM {quote(old_view)} t LEFT JOIN {quote(new_view)} x ON {on}")
+        fresh = spark.sql(f"SELECT {', '.join(f'x.{quote("__x_" + n)} AS {quote(n)}' for n in names)}, CAST(NULL AS BIGINT) AS {ROW_ID}, 1 AS __touched FROM {quote(new_view)} x LEFT ANTI JOIN {quote(old_view)} t ON {on}")
+        state = spark.read.parquet(st.write(updated.union(fresh)))
+    return state
+
+
 def _upsert(session, meta, s, rows, existing, key, em):
-    """Rows of one key are applied in input order, one round for each repetition.
+    """Rows of one key are applied in input order.
 
-    Only the table's rows with a key of the input take part and only they are written; a round is one join of these.
+    Only the table's rows with a key of the input take part and only they are written: they are joined once with the
+    input, whose rows of a key are folded into them. Only where the assignments hold subqueries is there a round of
+    joins for each repetition of a key.
     """
-    names = [c.name for c in meta.columns]
     cols = [_c(c) for c in key.columns]
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*cols).orderBy("__ord")))
     spark, st = session.spark, session.storage
     busy = _uncommitted(session, meta)
     if busy is not None and not rows.join(busy.select(*cols), key.columns, "left_semi").isEmpty():
         raise SqlError("55P03", f"could not obtain lock on row in relation {meta.name!r}")
-    rounds = rows.agg(F.max("__n")).first()[0] or 0
-    # rows as they are after the rounds so far; row id null where new
+    for c, _ in s.conflict.sets:
+        if meta.column(c) is None:
+            raise SqlError("42703", f"column {c!r} does not exist")
+    # rows as they are after what is applied so far; row id null where new
     state = existing.join(rows.select(*cols).distinct(), key.columns, "left_semi").select(*existing.columns).withColumn("__touched", F.lit(0))
     state = spark.read.schema(state.schema).parquet(st.write(state))
     before = state
-    for k in range(1, rounds + 1):
-        now = rows.where(F.col("__n") == k)
-        new_view = session.view(now.select(*[_c(n).alias(f"__x_{n}") for n in names]))
-        old_view = session.view(state)
-        on = " AND ".join(f"t.{quote(c)} = x.{quote('__x_' + c)}" for c in key.columns)
-        alias = s.table[-1]
-
-        def rename(parts, alias=alias):
-            if len(parts) > 1 and parts[-2] == "excluded":
-                return f"x.{quote('__x_' + parts[-1])}"
-            return f"t.{quote(parts[-1])}"
-
-        em.rename = rename
-        try:
-            sets = {c: _default(meta.column(c), em) if isinstance(e, A.Default) else em.e(e) for c, e in s.conflict.sets}
-            for c in sets:
-                if meta.column(c) is None:
-                    raise SqlError("42703", f"column {c!r} does not exist")
-            cond = f"({em.e(s.conflict.where)})" if s.conflict.where is not None else "true"
-        finally:
-            em.rename = None
-        hit = f"(x.{quote('__x_' + key.columns[0])} IS NOT NULL)"
-        cells = [f"CASE WHEN {hit} AND {cond} THEN CAST({sets[n]} AS {spark_type(meta.column(n).type)}) ELSE t.{quote(n)} END AS {quote(n)}" if n in sets else f"t.{quote(n)}" for n in names]
-        updated = spark.sql(f"SELECT {', '.join(cells)}, t.{ROW_ID}, t.__touched + CASE WHEN {hit} AND {cond} THEN 1 ELSE 0 END AS __touched FROM {quote(old_view)} t LEFT JOIN {quote(new_view)} x ON {on}")
-        fresh = spark.sql(f"SELECT {', '.join(f'x.{quote("__x_" + n)} AS {quote(n)}' for n in names)}, CAST(NULL AS BIGINT) AS {ROW_ID}, 1 AS __touched FROM {quote(new_view)} x LEFT ANTI JOIN {quote(old_view)} t ON {on}")
-        state = spark.read.parquet(st.write(updated.union(fresh).withColumn("__ord", F.monotonically_increasing_id())))
+    simple = not any(isinstance(x, A.SubQuery | A.InQuery) for x in _nodes([s.conflict.sets, s.conflict.where]))
+    state = (_folded if simple else _in_rounds)(session, meta, s, rows, state, key, em)
+    state = spark.read.parquet(st.write(state.withColumn("__ord", F.monotonically_increasing_id())))
     touched = state.where("__touched > 0")
     count = int(touched.agg(F.coalesce(F.sum("__touched"), F.lit(0))).first()[0])
     old = touched.where(_c(ROW_ID).isNotNull())

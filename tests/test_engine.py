@@ -267,6 +267,17 @@ def test_upsert_writes_only_what_it_touches(spark, s):
     assert max(sizes) <= 4 and rows(s, "SELECT count(*), sum(v) FROM t") == [(5001, 10)] and len(s.version(meta.id).deletes) == 1
 
 
+@pytest.mark.parametrize("other", ["0", "(SELECT 0)"])  # without and with a subquery
+def test_upsert_folds_repeated_keys(spark, s, other):
+    s.execute("CREATE TABLE t (k bigint PRIMARY KEY, v bigint, n text DEFAULT 'd', u bigint UNIQUE)")
+    s.execute("INSERT INTO t (k, v) VALUES (1, 100)")
+    s.execute(f"INSERT INTO t VALUES (1, 5, 'a', NULL), (2, 7, 'b', 1), (1, -200, 'c', NULL), (2, 1, 'e', 2), (1, 9, 'f', NULL) ON CONFLICT (k) DO UPDATE SET v = t.v * 2 + excluded.v + {other}, n = DEFAULT WHERE t.v + excluded.v > 0")
+    one = 2 * (2 * (2 * 100 + 5) - 200) + 9  # all three rows fit the condition in turn
+    assert rows(s, "SELECT k, v, n, u FROM t ORDER BY k") == [(1, one, "d", None), (2, 2 * 7 + 1, "d", 1)]
+    s.execute(f"INSERT INTO t VALUES (8, 1, 'x', NULL), (9, 1, 'y', NULL) ON CONFLICT (u) DO UPDATE SET v = {other}")
+    assert rows(s, "SELECT count(*) FROM t WHERE u IS NULL") == [(3,)]
+
+
 def test_files_are_merged(s, monkeypatch):
     monkeypatch.setattr(storage, "MERGE_DELETES", 3)
     monkeypatch.setattr(storage, "MERGE_PARTS", 4)
