@@ -39,8 +39,8 @@ MEMBERS, VISITORS, CELLS = 8192, 16_384, 1 << 20
 
 
 def list_count(n: int) -> int:
-    """Lists for n vectors: 4 sqrt(n) up to 4096, sqrt(n) beyond."""
-    return int(max(1, min(4 * n**0.5, max(4096, n**0.5))))
+    """Lists for n vectors: as many as a list has members."""
+    return int(max(1, n**0.5))
 
 
 def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
