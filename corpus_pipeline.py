@@ -69,7 +69,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("language", drop_unknown_language), ("minhash", drop_near_duplicates), ("decontaminate", drop_benchmark), ("packing", pack)]
 
-#: A network's scores are beyond SQL; tests hold every stage against brute force.
+#: A network's scores are beyond SQL; a test holds what run() gives against plain versions of all stages.
 ORACLE_SQL = None
 
 

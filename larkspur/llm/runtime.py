@@ -122,15 +122,13 @@ SLICE_BYTES = 2 << 20
 
 
 def sliced(batches, column: str = "text", most: int = SLICE_BYTES):
-    """Record batches cut so that `column` holds about `most` bytes at most, or one row."""
+    """Record batches joined and cut so that `column` holds about `most` bytes at most, or one row."""
     import numpy as np
+    import pyarrow as pa
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        arr = b.column(b.schema.get_field_index(column))
-        size = np.zeros(b.num_rows, np.int64) if arr.null_count == b.num_rows else np.asarray(_byte_lengths(arr))
-        total = np.cumsum(size)
+    def cut(held):
+        b = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        total = np.cumsum(np.concatenate([_byte_lengths(x.column(x.schema.get_field_index(column))) for x in held]))
         start = 0
         while start < b.num_rows:
             base = total[start - 1] if start else 0
@@ -138,11 +136,27 @@ def sliced(batches, column: str = "text", most: int = SLICE_BYTES):
             yield b.slice(start, end - start)
             start = end
 
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        n = int(_byte_lengths(b.column(b.schema.get_field_index(column))).sum())
+        if held and size + n > most:
+            yield from cut(held)
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield from cut(held)
+
 
 def _byte_lengths(arr):
+    import numpy as np
     import pyarrow.compute as pc
 
-    return pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False)
+    if arr.null_count == len(arr):
+        return np.zeros(len(arr), np.int64)
+    return pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 #: Pieces that stand for a text over the bound of a sample, evenly spread from its start to its end.

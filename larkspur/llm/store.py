@@ -28,6 +28,8 @@ from larkspur.llm.tokens import tokenizer_json
 MIN_CHUNK, MAX_CHUNK, MEAN_BITS, WINDOW = 64, 2048, 8, 16
 #: Addresses that a task remembers; what it forgets goes to the shuffle again and is dropped there.
 TASK_CHUNKS = 200_000
+#: Bytes of text that are encoded at once: each distinct piece of them is looked up once.
+SLICE = 6 << 20
 PACKED = "kind int, key binary, doc_id long, n long, lens binary, data binary"
 
 
@@ -85,7 +87,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
         from larkspur.llm.tokens import encode
 
         seen = set()
-        for b in sliced(batches):
+        for b in sliced(batches, most=SLICE):
             if len(seen) > TASK_CHUNKS:
                 seen.clear()
             ids, n = encode(b.column(1), js, end_id)

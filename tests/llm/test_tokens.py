@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from larkspur.llm.packing import binary_lengths
+from larkspur.llm.runtime import sliced
 from larkspur.llm.tokens import encode, tokenizer_json
 
 P = pytest.importorskip("public_tokenizers")
@@ -32,3 +33,14 @@ def test_binary_lengths():
     for n in (1, 2, 3, 2047, 2048, 2049, 10_000):
         got = binary_lengths(n, 2048)
         assert sum(got) == n and all(x & (x - 1) == 0 and x <= 2048 for x in got) and got == sorted(got, reverse=True)
+
+
+def test_slices_keep_every_row_in_order():
+    texts = [None if i % 5 == 0 else "é" * (i * 7 % 40) for i in range(90)] + ["y" * 500, None, ""]
+    whole = pa.table({"n": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
+    batches = [b for at, n in ((0, 3), (3, 0), (3, 40), (43, 1), (44, 49)) for b in whole.slice(at, n).combine_chunks().to_batches()]
+    for most in (1, 30, 300, 10**6):
+        out = list(sliced(iter(batches), most=most))
+        assert pa.Table.from_batches(out).equals(whole)
+        assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= most for b in out)
+    assert len(out) == 1 and list(sliced(iter([]))) == []
