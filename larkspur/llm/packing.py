@@ -59,8 +59,3 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, seq_len: int = 2
 
     pieces = map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, PIECES)
     return pieces.select("*", F.log2("length").cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-
-
-def write_buckets(packed: DataFrame, path: str) -> None:
-    """Sequences as Parquet, a folder for each length."""
-    packed.write.partitionBy("bucket").parquet(path)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.runtime import forget, materialize, sampled_texts, with_columns_by_batch
 
 #: Labelled documents of label 1 and of label 0 in the training sample (those with the smallest hash of their id); longer
-#: ones than SAMPLE_CHARS are left out of it.
+#: ones than SAMPLE_CHARS only fill it up, by pieces.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 6000
 
 WIDTH, STRIDE = 32, 16
